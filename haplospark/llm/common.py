@@ -59,11 +59,20 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return out
 
 
-def keyed_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(row_id, doc_id, text) with a row key of its own, so null or repeated ids stay separate rows."""
-    return docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")
-    )
+def keyed_texts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rest: bool = False) -> DataFrame:
+    """(row_id, doc_id, text) with a row key of its own, so null or repeated ids stay separate rows.
+
+    rest adds the other columns as one struct, whatever their names.
+    """
+    others = [c for c in docs.columns if c not in (text_col, id_col)]
+    more = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")] if rest and others else []
+    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
+
+
+def unkeyed(rows: DataFrame, columns: list[str], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Back from keyed_texts(rest=True) to the columns the documents had, in their order."""
+    of = {text_col: "text", id_col: "doc_id"}
+    return rows.select(*[F.col(of[c] if c in of else f"rest.`{c}`").alias(c) for c in columns])
 
 
 def binary_parts(column: pa.Array) -> tuple[np.ndarray, memoryview]:

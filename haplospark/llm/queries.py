@@ -39,6 +39,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haplospark.llm.minhash import minhash_near_dedup
+
+    return minhash_near_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))[0].select("doc_id", "class_id", "kept")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haplospark.llm.quality import quality_rules
 
