@@ -13,6 +13,7 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
@@ -88,6 +89,7 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> list[tuple[int, in
     return steps
 
 
+@lru_cache(maxsize=1)  # a worker keeps its words from task to task
 def word_bpe(path: str) -> Callable[[list[bytes]], list[bytes]]:
     """Tokenises texts to little-endian unsigned 32-bit ids, word by word, keeping words it has seen.
 
