@@ -27,7 +27,7 @@ from haplospark.llm.suffix_dedup import Hasher
 
 WORDS = 5
 BUCKET_BITS = 18  # of document frequencies
-DAMP = 0.25
+DAMP = 0.1
 BANDS, ROWS = 12, 4
 K = BANDS * ROWS
 TABLE_BITS = 16  # draws of a sample come from a table of so many entries

@@ -64,6 +64,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from haplospark.llm.langid import held_out
+    from haplospark.llm.toxicity import score_toxicity, train_toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = train_toxicity(docs.where("not held_out").join(labels, "doc_id").select("text", "toxic"))
+    return score_toxicity(docs, model, carry=("doc_id", "held_out"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
