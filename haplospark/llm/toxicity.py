@@ -4,7 +4,7 @@ Voters are lexicon words and patterns (beginnings of words), mined from all labe
 far more frequent in toxic than in other texts, besides a short list of insults.  A generative label model
 takes their votes, and the given label as one more voter, and estimates by expectation-maximisation each
 voter's rates given the class, and the voters' correlations within a class, by which it discounts voters that say
-the same.  A linear classifier over votes, vote counts and frequent words is trained on its posterior labels
+the same.  A voter that finds nothing abstains; that none speaks is a vote of its own.  A linear classifier over votes, vote counts and frequent words is trained on its posterior labels
 and scores every whole text.  Mining counts all labelled rows; the two models see at most `sample` of them.
 """
 
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from haplospark.llm.common import binary_parts, slices
 
 INSULTS = (b"idiot", b"moron", b"stupid", b"loser", b"scum", b"trash", b"pathetic", b"worthless", b"disgusting", b"clown")
-PREFIXES = (3, 4, 5, 6)  # bytes of the beginnings of words that patterns look at
+PREFIXES = (3, 4, 5, 6, 7, 8)  # bytes of the beginnings of words that patterns look at
 CACHE_WORDS = 400_000
+MEASURES = 4
 _FOLD = bytes(ord(chr(b).lower()) if 65 <= b < 91 else (32 if b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 128 else b) for b in range(256))
 
 
@@ -77,30 +78,30 @@ def _known_rows(vocabulary: dict[bytes, int]):
 
 @dataclass
 class ToxicityModel:
-    """Terms by id (the first `voters` of them vote), linear weights over terms and over three vote measures."""
+    """Terms by id (the first `voters` of them vote), linear weights over terms and over vote measures."""
 
     terms: list[bytes] = field(default_factory=list)
     voters: int = 0
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(MEASURES))
     bias: float = -3.0
 
     def features(self, texts: list[bytes], index: _Index | None = None) -> tuple[list[list[int]], np.ndarray]:
-        """Ids of the terms in each text, and its measures: distinct votes, votes in all, votes per word."""
+        """Ids of the terms in each text, and its measures: distinct votes, votes in all, votes per word, none."""
         index = index or _Index({t: i for i, t in enumerate(self.terms)})
-        ids, measures = [], np.zeros((len(texts), 3))
+        ids, measures = [], np.zeros((len(texts), MEASURES))
         for k, text in enumerate(texts):
             words = words_of(text)
             hits = [h for h in map(index.__getitem__, words) if h]
             own = {i for h in hits for i in h}
             ids.append(sorted(own))
             strong = sum(any(i < self.voters for i in h) for h in hits)
-            measures[k] = np.log1p(len({min(h) for h in hits if min(h) < self.voters})), np.log1p(strong), min(1.0, 20 * strong / max(1, len(words)))
+            measures[k] = np.log1p(len({min(h) for h in hits if min(h) < self.voters})), np.log1p(strong), min(1.0, 20 * strong / max(1, len(words))), float(not strong)
         return ids, measures
 
     def scores(self, texts: list[bytes], index: _Index | None = None) -> np.ndarray:
         ids, measures = self.features(texts, index)
         w, n = self.weights, len(self.terms)
-        z = np.array([w[own].sum() for own in ids]) + measures @ w[n : n + 3] + self.bias if texts else np.zeros(0)
+        z = np.array([w[own].sum() for own in ids]) + measures @ w[n:] + self.bias if texts else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -135,6 +136,7 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 20) -> tuple
     """
     q = np.where(given > 0, 0.95, 0.05)
     x = votes.astype(np.float64)
+    none = 1.0 - x.max(axis=1, initial=0)
     model: dict[str, np.ndarray] = {}
     for _ in range(rounds):
         n1, n0 = q.sum(), (1 - q).sum()
@@ -143,22 +145,23 @@ def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 20) -> tuple
         cov = inside.T @ inside / len(x)
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = cov / np.outer(sd, sd)
-        voice = 1 / np.maximum(1.0, (corr**2).sum(axis=1))
-        yes, no = np.log(p1 / p0) * voice, np.log((1 - p1) / (1 - p0)) * voice
-        z = np.log((n1 + 1) / (n0 + 1)) + x @ (yes - no) + no.sum() + np.where(given > 0, 1, -1) * np.log(19.0)
+        evidence = np.log(p1 / p0) / np.maximum(1.0, (corr**2).sum(axis=1))
+        silence = np.log((q @ none + 0.5) / (n1 + 1)) - np.log(((1 - q) @ none + 0.5) / (n0 + 1))
+        prior = np.log((n1 + 1) / (n0 + 1))
+        z = prior + x @ evidence + none * silence + np.where(given > 0, 1, -1) * np.log(19.0)
         q = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        model = {"yes_given_1": p1, "yes_given_0": p0, "correlation": corr, "voice": voice}
+        model = {"yes_given_1": p1, "yes_given_0": p0, "correlation": corr, "evidence": evidence, "silence": silence, "prior": prior}
     return q, model
 
 
-def linear_classifier(x: np.ndarray, target: np.ndarray, penalty: np.ndarray, rounds: int = 600, rate: float = 1.0) -> tuple[np.ndarray, float]:
-    """Logistic weights by gradient descent with momentum on soft labels; penalty per feature."""
-    w, b, v, vb = np.zeros(x.shape[1]), -2.0, np.zeros(x.shape[1]), 0.0
+def linear_classifier(x: np.ndarray, target: np.ndarray, start: np.ndarray, bias: float, penalty: np.ndarray, rounds: int = 400, rate: float = 0.5) -> tuple[np.ndarray, float]:
+    """Logistic weights by gradient descent with momentum on soft labels, drawn towards where they start."""
+    w, b, v, vb = start.copy(), bias, np.zeros(x.shape[1]), 0.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40)))
         e = (p - target) / len(x)
-        v, vb = 0.9 * v - rate * 0.1 * (x.T @ e + penalty * w), 0.9 * vb - rate * 0.1 * e.sum()
-        w, b = w + v * 5, b + vb * 5
+        v, vb = 0.9 * v - rate * (x.T @ e + penalty * (w - start)), 0.9 * vb - rate * e.sum()
+        w, b = w + v, b + vb
     return w, float(b)
 
 
@@ -183,14 +186,17 @@ def train_toxicity(labelled: DataFrame, sample: int = 6000) -> ToxicityModel:
     given = np.array(few["toxic"].to_pylist(), np.int64)
     n = len(terms)
     if not given.size or not given.any():
-        model.weights = np.concatenate([np.zeros(n), [2.0, 2.0, 0.0]])
+        model.weights = np.concatenate([np.zeros(n), [2.0, 2.0, 0.0, 0.0]])
         return model
-    x = np.zeros((len(given), n + 3))
+    x = np.zeros((len(given), n + MEASURES))
     for i, own in enumerate(few["ids"].to_pylist()):
         x[i, own] = 1
     x[:, n:] = few["measures"].to_pylist()
-    posterior, _ = label_model(x[:, :voters], given)
-    model.weights, model.bias = linear_classifier(x, posterior, np.concatenate([np.full(voters, 3e-4), np.full(n - voters, 3e-3), np.full(3, 1e-5)]))
+    posterior, rates = label_model(x[:, :voters], given)
+    start = np.zeros(n + MEASURES)
+    start[:voters], start[-1] = rates["evidence"], rates["silence"]
+    penalty = np.concatenate([np.full(voters, 1e-3), np.full(n - voters, 3e-3), np.full(MEASURES, 1e-4)])
+    model.weights, model.bias = linear_classifier(x, posterior, start, float(rates["prior"]), penalty)
     return model
 
 
