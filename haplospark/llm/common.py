@@ -45,6 +45,15 @@ def unstage(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python at most 8 MB or 2,000 rows at a time, whatever the texts; only where no less is set."""
+    for key, most in (("maxBytesPerBatch", 8 << 20), ("maxRecordsPerBatch", 2000)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = "".join(c for c in spark.conf.get(key) if c.isdigit() or c == "-")
+        if not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import binary_parts, slices
+from haplospark.llm.common import binary_parts, slices, small_batches
 
 WINDOW = 128
 HIDDEN = 8
@@ -181,6 +181,7 @@ def train_language_model(labelled: DataFrame, per_language: int = 300, windows:
     Documents are chosen by the hash of their text, so any order of the rows gives the same model; null or
     empty texts and null languages are left out; None if nothing is left.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null and text <> ''")
     key = F.xxhash64("text", F.lit(1))
     best = rows.select("lang", "text", key.alias("key")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).where(F.col("n") <= per_language)
@@ -228,6 +229,7 @@ def identify_language(docs: DataFrame, model: BiGRU | None, text_col: str = "tex
     Null texts, and texts without a letter, are `und` with score 0, and so is all if there was nothing to learn;
     rows are judged each by itself; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(*carry, F.col(text_col).alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     return rows.mapInArrow(_predict_rows(model.languages if model else [], model.w if model else None), f"{kinds}, lang_pred string, score double")

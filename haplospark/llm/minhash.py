@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import binary_parts, bucketed, keyed_texts, mix64, slices, staged, unstage
+from haplospark.llm.common import binary_parts, bucketed, keyed_texts, mix64, slices, small_batches, staged, unstage
 from haplospark.llm.suffix_dedup import Hasher
 
 WORDS = 5
@@ -302,6 +302,7 @@ def minhash_near_dedup(docs: DataFrame, least: float = 0.8, text_col: str = "tex
     columns as one struct).  Null and empty texts stand alone and are kept; repeated rows are copies of each
     other; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     texts = bucketed(keyed_texts(docs, text_col, id_col, rest=True), "row_id", "texts")
     found = staged(near_duplicates(texts, least), "found")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row_id").alias("r"))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import binary_parts, slices, staged
+from haplospark.llm.common import binary_parts, slices, small_batches, staged
 
 CACHE_WORDS = 1_000_000  # tokenised words that a worker keeps, some 170 MB
 
@@ -180,6 +180,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: i
     `end`; null and repeated ids are documents of their own; an empty table gives no rows.  Other columns are
     not read.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids

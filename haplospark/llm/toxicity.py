@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import binary_parts, slices
+from haplospark.llm.common import binary_parts, slices, small_batches
 
 INSULTS = (b"idiot", b"moron", b"stupid", b"loser", b"scum", b"trash", b"pathetic", b"worthless", b"disgusting", b"clown")
 PREFIXES = (3, 4, 5, 6, 7, 8)  # bytes of the beginnings of words that patterns look at
@@ -171,6 +171,7 @@ def train_toxicity(labelled: DataFrame, sample: int = 6000) -> ToxicityModel:
     The models see the `sample` rows of least text hash, so the order of rows doesn't matter.  With no toxic
     rows only the listed insults vote, at a fixed weight.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), "toxic").where("toxic in (0, 1)")
     terms, voters = mine_terms(rows)
     model = ToxicityModel(terms, voters)
@@ -216,6 +217,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, least: float = 0.7, te
     Null and empty texts get the score of a text without words; rows are scored each by itself; an empty
     table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(*carry, F.col(text_col).alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     return rows.mapInArrow(_score_rows(model), f"{kinds}, score double").withColumn("predicted", (F.col("score") >= least).cast("int"))
