@@ -1,8 +1,76 @@
-"""The corpus pipeline: documents in, packed sequences out."""
+"""The corpus pipeline: quality rules, near-dedup, substring dedup, PII removal, packing.
 
-ORACLE_SQL = None
-STAGES: list = []
+Every stage but the last returns the columns of its documents.  A stage treats rows with null or repeated ids
+each as a document of its own, a null text as empty, and gives no rows for an empty table.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from haplospark.llm.common import staged, unkeyed
+from haplospark.llm.minhash import minhash_near_dedup
+from haplospark.llm.packing import pack_documents
+from haplospark.llm.pii import find_personal_data, redacted
+from haplospark.llm.quality import quality_rules
+from haplospark.llm.suffix_dedup import suffix_array_dedup
+
+ORACLE_SQL = None  # thresholds, sampling and label models have no SQL form; tests compare with brute force
+
+
+def _with_text(columns: list[str], text, value) -> list:
+    """The columns of documents with a new text, and n_chars counted anew where there is such a column."""
+    return [text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else value(c).alias(c) for c in columns]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.where("kept").select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: the one with the least id."""
+    classes, keyed = minhash_near_dedup(docs)
+    kept = classes.where("kept").select("row_id").hint("shuffle_merge")
+    return unkeyed(keyed.join(kept, "row_id"), docs.columns)
+
+
+def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their repeated byte ranges; characters that a cut would split go whole."""
+    cut = suffix_array_dedup(docs)
+    text = F.call_function("try_validate_utf8", F.col("kept").cast("string"))
+    # only texts with a split character need the slower clean-up
+    clean = F.coalesce(text, F.regexp_replace(F.call_function("make_valid_utf8", F.col("kept").cast("string")), "�", ""))
+    return cut.select(*_with_text(docs.columns, clean, lambda c: F.col("doc_id" if c == "doc_id" else f"rest.`{c}`")))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    found = find_personal_data(docs)
+    text = redacted(F.coalesce(F.col("doc.text"), F.lit("")), F.col("spans"))
+    return found.select(F.col("doc").alias("doc"), text.alias("clean")).select(*_with_text(docs.columns, F.col("clean"), lambda c: F.col(f"doc.`{c}`")))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents placed in sequences of 2048 tokens."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("minhash_near_dedup", near_dedup_stage),
+    ("suffix_array_dedup", substring_dedup_stage),
+    ("weak_supervision_pii", pii_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what a stage returns is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

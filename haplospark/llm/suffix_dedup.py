@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from haplospark.llm.common import binary_parts, bucketed, keyed_texts, mix64, slices, staged, unstage
+from haplospark.llm.common import binary_parts, bucketed, keyed_texts, mix64, slices, small_batches, staged, unstage
 
 SEED = 100  # bytes named at an anchor in the first round
 BLOCK = 1 << 18  # bytes hashed at a time
@@ -206,20 +207,28 @@ def _split_rows(length: int, width: int):
     return run
 
 
-def _sorted_out(ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ranges that repeat as a whole; and ranges of which only a part may repeat, for the next round.
+def _sorted_out(ranked: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Of ranked ranges: the byte ranges of those that repeat as a whole; and those of which a part may repeat.
 
     Of equal ranges one goes on where their rank has other ranges too: it stands for them all when those
-    look for their partners.
+    look for their partners.  Keys that repeat are written first, so each join has plain shuffles on both
+    sides and Spark can split a rank that holds a large share of all rows.
     """
-    twice = ranked.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank")
-    alive = staged(ranked.join(twice.hint("shuffle_merge"), "rank"), "alive")
+
+    def more_than_once(rows: DataFrame, key: str) -> DataFrame:
+        return staged(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "keys").hint("shuffle_merge")
+
+    alive = staged(ranked.join(more_than_once(ranked, "rank"), "rank"), "alive")
+    unstage(ranked)
     groups = staged(
         alive.groupBy("whole").agg(F.first("rank").alias("rank"), F.count(F.lit(1)).alias("n"), F.min(F.struct("row_id", "pos", "first", "last")).alias("one")), "groups"
     )
-    mixed = groups.groupBy("rank").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("rank")
-    done = alive.join(groups.where("n > 1").select("whole").hint("shuffle_merge"), "whole")
-    return done, groups.join(mixed.hint("shuffle_merge"), "rank").select("one.*", "rank")
+    twice = groups.where("n > 1").select("whole").hint("shuffle_merge")
+    done = staged(alive.join(twice, "whole").select("row_id", (F.col("pos") - F.col("last")).alias("b"), (F.col("pos") - F.col("first") + length).alias("e")), "ranges")
+    unstage(alive)
+    open_ = staged(groups.join(more_than_once(groups, "rank"), "rank").select("one.*", "rank"), "open")
+    unstage(groups)
+    return done, open_
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,9 +253,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out["n_removed"].append(len(text) - len(left))
             out["n_spans"].append(spans)
             out["kept"].append(left)
+        carried = [c for c in batch.schema.names if c not in ("text", "cuts")]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row_id"), batch.column("doc_id"), *(pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in out.items()), pa.array([hashlib.sha256(x).hexdigest() for x in out["kept"]])],
-            ["row_id", "doc_id", *out, "kept_sha256"],
+            [*(batch.column(c) for c in carried), *(pa.array(v, pa.binary() if k == "kept" else pa.int64()) for k, v in out.items()), pa.array([hashlib.sha256(x).hexdigest() for x in out["kept"]])],
+            [*carried, *out, "kept_sha256"],
         )
 
 
@@ -255,21 +265,16 @@ def repeated_ranges(texts: DataFrame, length: int = 400) -> DataFrame:
     if length <= SEED:
         raise ValueError(f"length must be over {SEED}")
     anchors = staged(texts.select("row_id", "text").mapInArrow(_anchor_rows(length), ANCHOR), "anchors")
-    done, open_ = _sorted_out(anchors)
-    span = (F.col("row_id"), (F.col("pos") - F.col("last")).alias("b"), (F.col("pos") - F.col("first") + length).alias("e"))
-    ranges = done.select(*span)
+    ranges, open_ = _sorted_out(anchors, length)
     by_text = open_.groupBy("row_id").agg(F.collect_list(F.struct("pos", "first", "last", "rank")).alias("open"))
     context = staged(texts.select("row_id", "text").join(by_text.hint("shuffle_merge"), "row_id").mapInArrow(_context_rows(length), CONTEXT), "context")
-    unstage(anchors)
     todo = context
     for width in WIDTHS:
-        ranked = staged(todo.mapInArrow(_split_rows(length, width), ANCHOR), "parts")
-        done, open_ = _sorted_out(ranked)
-        unstage(ranked)
-        ranges = ranges.unionByName(done.select(*span))
+        done, open_ = _sorted_out(staged(todo.mapInArrow(_split_rows(length, width), ANCHOR), "parts"), length)
+        ranges = ranges.unionByName(done)
         if width > 1:
             last = todo
-            todo = staged(open_.select("row_id", "pos", "first", "last", "rank").join(context.select("row_id", "pos", "at", "context"), ["row_id", "pos"]).select(*CONTEXT_COLUMNS), "context")
+            todo = staged(open_.join(context.select("row_id", "pos", "at", "context"), ["row_id", "pos"]).select(*CONTEXT_COLUMNS), "context")
             if last is not context:
                 unstage(last)
     unstage(context, todo)
@@ -280,13 +285,15 @@ def suffix_array_dedup(docs: DataFrame, length: int = 400, text_col: str = "text
     """Remove each byte covered by a string of `length` bytes that starts at two places or more.
 
     Texts are UTF-8 bytes; matches stay within one text; overlaps count; strings are judged on the input.
-    Returns a row per input row: row_id, doc_id, n_bytes, n_removed, n_spans, kept (binary),
-    kept_sha256.  A null text is empty; empty and short texts lose nothing; null or repeated ids are rows of
+    Returns a row per input row: row_id, doc_id, rest (the other columns as one struct, if there are any), n_bytes,
+    n_removed, n_spans, kept (binary), kept_sha256.  A null text is empty; empty and short texts lose nothing; null or repeated ids are rows of
     their own, so a repeated row of `length` bytes or more loses all its text; an empty table gives no rows.
-    Other columns are not read.
     """
-    texts = bucketed(keyed_texts(docs, text_col, id_col), "row_id", "texts")
+    small_batches(docs.sparkSession)
+    texts = bucketed(keyed_texts(docs, text_col, id_col, rest=True), "row_id", "texts")
     ranges = repeated_ranges(texts, length)
     cuts = ranges.groupBy("row_id").agg(F.collect_list(F.struct("b", "e")).alias("cuts")).hint("shuffle_merge")
-    id_type = texts.schema["doc_id"].dataType.simpleString()
-    return texts.join(cuts, "row_id", "left").mapInArrow(_cut, f"row_id long, doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    schema = T.StructType([f for f in texts.schema if f.name != "text"])
+    for name in ("n_bytes", "n_removed", "n_spans"):
+        schema = schema.add(name, "long")
+    return texts.join(cuts, "row_id", "left").mapInArrow(_cut, schema.add("kept", "binary").add("kept_sha256", "string"))
