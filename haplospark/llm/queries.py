@@ -11,6 +11,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haplospark.llm.sentence_dedup import sentence_span_dedup
+
+    return sentence_span_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_sentences", "n_removed", "kept_sha256")
+
+
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haplospark.llm.ann import nearest_rows
+
+    return nearest_rows(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), every=50, k=5)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from haplospark.llm.sentencepieces import encode_documents
+
+    return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), check=True)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haplospark.llm.suffix_dedup import suffix_array_dedup
 
