@@ -48,7 +48,7 @@ def subtract_mask(a: DataFrame, b: DataFrame, high: int) -> DataFrame:
     x, y = a.alias("x"), free.alias("y")
     meet = x.join(y, (F.col("x.contig") == F.col("y.contig")) & (F.col("x.start") < F.col("y.stop")) & (F.col("y.start") < F.col("x.stop")))
     part = meet.select("x.contig", F.greatest("x.start", "y.start").alias("start"), F.least("x.stop", "y.stop").alias("stop"))
-    return part.unionByName(whole.select("contig", "start", "stop"))
+    return part.unionByName(whole.select("contig", "start", "stop")).where("start < stop")
 
 
 def _binned(df: DataFrame, start: Column, stop: Column) -> DataFrame:
