@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _UNTIL = (Window.unboundedPreceding, Window.currentRow)
 
@@ -58,7 +59,7 @@ def phase_path(superclusters: DataFrame, keys: tuple[str, ...] = ("contig",)) ->
             path[i] = state
         return pdf.assign(pb_phase=path, is_switch=switch, is_flip=flip)
 
-    schema = superclusters.schema.add("pb_phase", "integer").add("is_switch", "boolean").add("is_flip", "boolean")
+    schema = T.StructType(superclusters.schema.fields + [T.StructField("pb_phase", T.IntegerType()), T.StructField("is_switch", T.BooleanType()), T.StructField("is_flip", T.BooleanType())])
     return superclusters.groupBy(*keys).applyInPandas(fold, schema)
 
 
@@ -82,9 +83,7 @@ def error_intervals(path: DataFrame) -> DataFrame:
     decided = F.col("sc_phase") != 2
     left = F.coalesce(F.last(F.when(decided, F.col("end")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     right = F.coalesce(F.last(F.when(decided, F.col("beg")), True).over(back.rowsBetween(Window.unboundedPreceding, -1)), F.first("beg").over(back.rowsBetween(Window.unboundedPreceding, -1)))
-    here = F.when(decided, F.col("beg")).otherwise(right)
     rows = path.withColumns({"l": left, "r": right}).withColumn("h", F.coalesce(F.when(decided, F.col("beg")).otherwise(F.col("r")), F.col("beg")))
-    del here
 
     def part(cond: Column, start: str, stop: str, name: str) -> DataFrame:
         return rows.where(cond).select("contig", F.col(start).alias("start"), F.col(stop).alias("stop"), F.lit(name).alias("switch_type"), F.col("sc_idx").alias("supercluster"), F.col("pb_idx").alias("phase_block"))
