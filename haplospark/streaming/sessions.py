@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def sessions(events: DataFrame, gap: str, key: str = "user_id", time: str = "ts") -> DataFrame:
     """(key, session_start, n): events of a key closer than the gap belong together."""
-    w = F.session_window(F.col(time).cast("timestamp"), gap)
+    at = F.col(time) if events.schema[time].dataType.typeName() == "timestamp" else F.col(time).cast("timestamp")  # a cast would lose the watermark
+    w = F.session_window(at, gap)
     out = events.groupBy(key, w.alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return out.select(key, F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n")
 
