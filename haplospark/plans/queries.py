@@ -498,3 +498,72 @@ def session_batch(spark, sf):
     from haplospark.streaming.sessions import sessions
 
     return sessions(V.table(spark, sf, "events"), "6 hours")
+
+
+# --- alignment kernels: no SQL form
+
+
+def _genome(spark, sf):
+    """A genome for the synthetic calls: hashes spelled in bases, long enough for every position."""
+    top = V.calls(spark, sf).groupBy("contig").agg((F.max("pos") + 2000).alias("n"))
+    parts = top.select("contig", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 128))).alias("i"))
+    bases = F.translate(F.sha2(F.concat_ws(":", "contig", F.col("i").cast("string")), 512), "0123456789abcdef", "ACGTACGTACGTACGT")
+    seq = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", bases.alias("b")))), lambda x: x["b"]), "")
+    return parts.groupBy("contig").agg(seq.alias("seq")).withColumn("length", F.length("seq"))
+
+
+def _sequenced(spark, sf):
+    """Synthetic calls with alleles, the overlapping ones left out, in clusters and superclusters."""
+    from haplospark.operators.alignment import split_oversize
+
+    v = V.calls(spark, sf)
+    word = F.translate(F.sha2(F.col("event_id").cast("string"), 512), "0123456789abcdef", "ACGTACGTACGTACGT")
+    v = v.withColumn("w", word).select(
+        "callset", "contig", "hap", "pos", "var_idx", F.when(F.col("type") == "SUB", "SNP").otherwise(F.col("type")).alias("type"), "rlen", "size", F.col("qual").cast("float").alias("qual"), "phase_set", F.when(F.col("type") == "DEL", "").otherwise(F.expr("substring(w, 1, int(size))")).alias("alt")
+    )
+    v = filters.prune_overlaps(v)
+    c = clustering.reach_clusters(clustering.with_reach(v, "gap", 10))
+    sc = clustering.superclusters(clustering.cluster_table(c)).select("callset", "contig", "hap", "cluster_id", "sc_idx")
+    return split_oversize(c.join(sc, ["callset", "contig", "hap", "cluster_id"]), 1000)
+
+
+@query()
+def affine_align(spark, sf):
+    """Affine alignment cost of neighbouring part names, and its operations."""
+    import pandas as pd
+
+    from haplospark.kernels.align import affine_cigar, cigar_cost
+
+    def run(batches):
+        for pdf in batches:
+            ops = [affine_cigar(a, b, 5, 6, 2) for a, b in zip(pdf["ref"], pdf["alt"])]
+            yield pd.DataFrame({"p_partkey": pdf["p_partkey"], "cost": [cigar_cost(o, 5, 6, 2) for o in ops], "cigar": ["".join(f"{n}{op}" for op, n in o) for o in ops]})
+
+    return V.numbered_parts(spark, sf).mapInPandas(run, "p_partkey long, cost long, cigar string")
+
+
+@query()
+def graph_eval(spark, sf):
+    """Results of calls in superclusters by the variant graph, for both assignments of haplotypes."""
+    from haplospark.operators.alignment import evaluate_superclusters
+
+    v = _sequenced(spark, sf)
+    ranges = v.groupBy("contig", "sc_idx").agg((F.min("pos") - 1).alias("beg"), (F.max(F.col("pos") + F.col("rlen")) + 1).alias("end")).withColumn("beg", F.greatest(F.lit(0), "beg"))
+    return evaluate_superclusters(v, ranges, _genome(spark, sf)).groupBy("callset", "swap", "errtype").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("credit"), 6).alias("mean_credit"))
+
+
+@query()
+def realign_clusters(spark, sf):
+    """Calls of clusters in the representation that the realignment penalties prefer."""
+    from haplospark.operators.alignment import realign
+
+    return realign(_sequenced(spark, sf).where("pos > 0"), _genome(spark, sf)).groupBy("callset", "type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("ref") + F.length("alt")).alias("bases"))
+
+
+@query()
+def reach_clusters(spark, sf):
+    """Clusters by how far realignments may reach, two rounds."""
+    from haplospark.operators.alignment import reach_iterations
+
+    v = _sequenced(spark, sf).where("pos > 0").select("callset", "contig", "hap", "pos", "var_idx", "rlen", "alt")
+    return reach_iterations(v, _genome(spark, sf), rounds=2).groupBy("callset", "contig", "hap").agg(F.countDistinct("cluster_id").alias("n_clusters"), F.count(F.lit(1)).alias("n_vars"))

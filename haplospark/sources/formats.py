@@ -85,9 +85,12 @@ def unsorted_contigs(records: DataFrame) -> list[str]:
 
 def with_anchor(variants: DataFrame, reference: DataFrame) -> DataFrame:
     """out_pos (1-based), out_ref, out_alt: insertions and deletions with the base before them."""
-    v = variants.join(reference.select("contig", "seq"), "contig")
+    from haplospark.operators.alignment import BLOCK, reference_blocks
+
     anchored = F.col("type").isin("INS", "DEL")
-    base = F.when(anchored, F.substring("seq", F.col("pos").cast("int"), F.lit(1))).otherwise("")
+    at = F.greatest(F.lit(0), F.col("pos") - 1)
+    v = variants.withColumn("block", F.floor(at / BLOCK).cast("int")).join(reference_blocks(reference), ["contig", "block"])
+    base = F.when(anchored, F.substring("bases", (at % BLOCK + 1).cast("int"), F.lit(1))).otherwise("")
     return v.select(*variants.columns, (F.col("pos") + F.when(anchored, 0).otherwise(1)).alias("out_pos"), F.concat(base, "ref").alias("out_ref"), F.concat(base, "alt").alias("out_alt"))
 
 
