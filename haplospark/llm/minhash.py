@@ -7,9 +7,9 @@
    of their weighted Jaccard similarity; samples are banded.
 3. Documents of equal words form one class, of which one member goes on.
 4. Small buckets propose all their pairs, at most six; in larger ones each member is paired with the least.  Texts of
-   each pair are compared exactly.  Larger buckets that verified links do not connect are then compared
-   sketch against sketch, in blocks of bounded size, and what looks alike is compared exactly too, so a link
-   between two members of which neither resembles the least one is not lost.
+   each pair are compared exactly.  Larger buckets that verified links do not connect are then gone through in
+   pairs of blocks of bounded size: sketch against sketch, and what looks alike and isn't connected yet exactly,
+   so a link between two members of which neither resembles the least one is not lost.
 5. Connected components of the verified links, by min-label propagation with pointer jumping in Spark.
 """
 
@@ -32,7 +32,7 @@ BANDS, ROWS = 12, 4
 K = BANDS * ROWS
 TABLE_BITS = 16  # draws of a sample come from a table of so many entries
 ALL_PAIRS = 4  # largest bucket of which all pairs are compared
-BLOCK_ROWS = 1024  # sketches in a block
+BLOCK_ROWS, BLOCK_WORDS = 512, 500_000  # about so many documents or words are in a block
 BYTES = 1 << 20  # of text handled at a time
 ALIKE = 0.55  # share of equal samples from which texts are compared: 0.8 falls below it once in 10,000
 
@@ -230,19 +230,50 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "component")
 
 
-def _sketch_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components with alike sketches, of one pair of blocks."""
-    table = pa.Table.from_batches(batches)
-    node, component, side = (table[c].to_numpy() for c in ("node", "component", "side"))
-    offsets, data = binary_parts(table["sketch"].combine_chunks())
-    sketch = np.frombuffer(data, "<u2")[offsets[0] // 2 : offsets[-1] // 2].reshape(-1, K)
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in left:
-        alike = right[((sketch[right] == sketch[i]).sum(axis=1) >= ALIKE * K) & (component[right] != component[i])]
-        out_a.append(np.minimum(node[i], node[alike]))
-        out_b.append(np.maximum(node[i], node[alike]))
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+def _block_links(weights: np.ndarray, least: float):
+    """Links between different components within one pair of blocks of a bucket.
+
+    Pairs with alike sketches are compared exactly, the most alike first, unless links found here already
+    connect them.  A pair that shares an earlier band too is left to that band.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        hasher = Hasher(BYTES)
+        table = table.combine_chunks()
+        node, component, side, band = (table[c].to_numpy() for c in ("node", "component", "side", "band"))
+        offsets, data = binary_parts(table["sketch"])
+        sketch = np.frombuffer(data, "<u2")[offsets[0] // 2 : offsets[-1] // 2].reshape(-1, K)
+        earlier = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[:, : band[0]]
+        offsets, data = binary_parts(table["text"])
+        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        root = {c: c for c in component.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        def members(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in sets:
+                sets[i] = weighted(shingles([data[offsets[i] : offsets[i + 1]]], hasher)[0], weights)
+            return sets[i]
+
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        out = []
+        for i in left.tolist():
+            own = right[right > i] if side[i] == 2 else right
+            equal = (sketch[own] == sketch[i]).sum(axis=1)
+            first = ~(earlier[own] == earlier[i]).any(axis=1)
+            alike = np.flatnonzero((equal >= ALIKE * K) & (component[own] != component[i]) & first)
+            for j in own[alike[np.argsort(-equal[alike], kind="stable")]].tolist():
+                x, y = find(component[i]), find(component[j])
+                if x != y and (s := similarity(members(i), members(j))) >= least:
+                    root[max(x, y)] = min(x, y)
+                    out.append((min(node[i], node[j]), max(node[i], node[j]), s))
+        a, b, s = zip(*out) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
+
+    return run
 
 
 def near_duplicates(texts: DataFrame, least: float = 0.8) -> DataFrame:
@@ -260,28 +291,29 @@ def near_duplicates(texts: DataFrame, least: float = 0.8) -> DataFrame:
     classes = staged(signed.groupBy(*same).agg(F.min("row_id").alias("node")), "classes")
     member = staged(signed.select("row_id", *same).join(classes.hint("shuffle_merge"), same).select("row_id", "node"), "member")
     nodes = signed.join(member.where("row_id = node").select("row_id").hint("shuffle_merge"), "row_id")
-    banded = staged(nodes.select(F.col("row_id").alias("node"), F.explode("bands").alias("key")), "banded")
-    # the least four of a bucket and its size; the sizes tell which buckets are larger
-    sizes = staged(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least")).where("m > 1"), "sizes")
+    banded = staged(nodes.select(F.col("row_id").alias("node"), "n_words", F.posexplode("bands").alias("band", "key")), "banded")
+    sizes = staged(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least"), F.sum("n_words").alias("words")).where("m > 1"), "sizes")
     small = banded.join(sizes.where(F.col("m") <= ALL_PAIRS).hint("shuffle_merge"), "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all"))
     i_j = [(i, j) for j in range(1, ALL_PAIRS) for i in range(j)]
     few = small.select(F.explode(F.array(*[F.struct(F.try_element_at("all", F.lit(i + 1)).alias("a"), F.try_element_at("all", F.lit(j + 1)).alias("b")) for i, j in i_j])).alias("p")).select("p.*").where("b is not null")
-    large = staged(banded.join(sizes.where(F.col("m") > ALL_PAIRS).hint("shuffle_merge"), "key"), "large")
+    large = staged(banded.drop("n_words").join(sizes.where(F.col("m") > ALL_PAIRS).hint("shuffle_merge"), "key"), "large")
     star = large.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     links = verified(few.unionByName(star), texts, weights, least)
     labels = components(links)
     # larger buckets that the links leave in two components or more
     placed = staged(large.join(labels.hint("shuffle_merge"), "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("words") / BLOCK_WORDS)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     open_ = placed.join(staged(apart, "apart").hint("shuffle_merge"), "key").withColumn("blocks", blocks).withColumn("own", own)
-    with_sketch = open_.join(signed.select(F.col("row_id").alias("node"), "sketch").hint("shuffle_merge"), "node")
-    dealt = with_sketch.select(
-        "key", "node", "component", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    ).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "node", "component", "sketch")
-    more = dealt.groupBy("key", "i", "j").applyInArrow(lambda t: pa.Table.from_batches(_sketch_pairs(iter(t.to_batches()))), "a long, b long")
-    extra = verified(more, texts, weights, least)
+    open_ = staged(open_, "open")
+    used = texts.select("row_id", "text").join(open_.select(F.col("node").alias("row_id")).distinct().hint("shuffle_merge"), "row_id")
+    bodies = signed.select("row_id", "sketch", "bands").join(used.hint("shuffle_merge"), "row_id").withColumnRenamed("row_id", "node")
+    dealt = open_.join(bodies.hint("shuffle_merge"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "band", "node", "component", "sketch", "bands", "text")
+    extra = staged(dealt.groupBy("key", "i", "j").applyInArrow(_block_links(weights, least), "a long, b long, similarity double"), "links")
+    unstage(open_)
     links = links.unionByName(extra)
     final = components(links)
     unstage(banded, sizes, large, placed)
