@@ -89,7 +89,12 @@ def as_of_region(points: DataFrame, regions: DataFrame) -> DataFrame:
     return seen.select("vid", "contig", F.col("at").alias("pos"), F.col("last.start").alias("r_start"), F.col("last.stop").alias("r_stop"))
 
 
-def contig_islands(rows: DataFrame, order: str) -> DataFrame:
-    """Contigs that come again after another one, with their number of runs: the file isn't sorted."""
-    runs = rows.withColumn("_new", F.coalesce(F.col("contig") != F.lag("contig").over(Window.orderBy(order)), F.lit(True)))
-    return runs.groupBy("contig").agg(F.count_if("_new").alias("runs")).where("runs > 1")
+def interleaved_contigs(rows: DataFrame, order: str) -> DataFrame:
+    """(contig, n) of contigs whose stretch of the file overlaps that of n others: the file isn't sorted.
+
+    Each contig's first and last place is enough, so nothing is sorted but one row per contig.
+    """
+    span = rows.groupBy("contig").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
+    a, b = span.alias("a"), F.broadcast(span).alias("b")  # a row per contig
+    meet = a.join(b, (F.col("a.contig") != F.col("b.contig")) & (F.col("a.lo") < F.col("b.hi")) & (F.col("b.lo") < F.col("a.hi")))
+    return meet.groupBy(F.col("a.contig").alias("contig")).agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from haplospark.operators.intervals import mask_problems
+from haplospark.operators.intervals import interleaved_contigs, mask_problems
 
 
 class FormatError(ValueError):
@@ -77,10 +77,8 @@ def read_vcf(spark: SparkSession, path: str, callset: str) -> DataFrame:
 
 
 def unsorted_contigs(records: DataFrame) -> list[str]:
-    """Contigs that come again after another one; found from each contig's first and last place in the file."""
-    span = records.groupBy("contig").agg(F.min("file_ord").alias("lo"), F.max("file_ord").alias("hi"))
-    late = span.withColumn("before", F.max("hi").over(Window.orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)))  # a row per contig
-    return [r["contig"] for r in late.where("lo < before").collect()]
+    """Contigs that come again after another one, by their stretches of the file."""
+    return sorted(r["contig"] for r in interleaved_contigs(records, "file_ord").collect())
 
 
 def with_anchor(variants: DataFrame, reference: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from haplospark.plans import queries as plans
+from haplospark.plans import more, queries as plans  # noqa: F401  (more registers queries too)
 from tests.oracle import DATA, connect, differ
 
 
