@@ -90,11 +90,11 @@ def as_of_region(points: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def interleaved_contigs(rows: DataFrame, order: str) -> DataFrame:
-    """(contig, n) of contigs whose stretch of the file overlaps that of n others: the file isn't sorted.
+    """(contig) of contigs whose stretch of the file overlaps that of another one: the file isn't sorted.
 
     Each contig's first and last place is enough, so nothing is sorted but one row per contig.
     """
     span = rows.groupBy("contig").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    a, b = span.alias("a"), F.broadcast(span).alias("b")  # a row per contig
-    meet = a.join(b, (F.col("a.contig") != F.col("b.contig")) & (F.col("a.lo") < F.col("b.hi")) & (F.col("b.lo") < F.col("a.hi")))
-    return meet.groupBy(F.col("a.contig").alias("contig")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.orderBy("lo")
+    before, after = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lead("lo").over(w)
+    return span.withColumn("mixed", (F.coalesce(before > F.col("lo"), F.lit(False))) | F.coalesce(after < F.col("hi"), F.lit(False))).where("mixed").select("contig")

@@ -121,7 +121,7 @@ def call_counters(spark, sf):
     return spark.sql("SELECT coalesce(callset, 'all') AS callset, coalesce(contig, 'all') AS contig, coalesce(type, 'all') AS type, count(*) AS n FROM haplospark_calls GROUP BY GROUPING SETS ((callset, type), (callset, contig), (callset), ())")
 
 
-@query(f"WITH {V.EV}, s AS (SELECT contig, min(event_id) AS lo, max(event_id) AS hi FROM ev GROUP BY 1) SELECT a.contig, count(*) AS n FROM s a JOIN s b ON a.contig <> b.contig AND a.lo < b.hi AND b.lo < a.hi GROUP BY 1")
+@query(f"WITH {V.EV}, s AS (SELECT contig, min(event_id) AS lo, max(event_id) AS hi FROM ev GROUP BY 1) SELECT contig FROM s a WHERE EXISTS (SELECT 1 FROM s b WHERE a.contig <> b.contig AND a.lo < b.hi AND b.lo < a.hi)")
 def interleaved_contigs(spark, sf):
     """Contigs that aren't in one stretch of the file."""
     return intervals.interleaved_contigs(V.calls(spark, sf).select("contig", "event_id"), "event_id")
