@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import binary_parts, slices, small_batches
+from haplospark.llm.common import binary_parts, slices, small_batches, staged, unstage
 
 INSULTS = (b"idiot", b"moron", b"stupid", b"loser", b"scum", b"trash", b"pathetic", b"worthless", b"disgusting", b"clown")
 PREFIXES = (3, 4, 5, 6, 7, 8)  # bytes of the beginnings of words that patterns look at
@@ -172,7 +172,7 @@ def train_toxicity(labelled: DataFrame, sample: int = 6000) -> ToxicityModel:
     rows only the listed insults vote, at a fixed weight.
     """
     small_batches(labelled.sparkSession)
-    rows = labelled.select(F.coalesce("text", F.lit("")).alias("text"), "toxic").where("toxic in (0, 1)")
+    rows = staged(labelled.select(F.coalesce("text", F.lit("")).alias("text"), "toxic").where("toxic in (0, 1)"), "labelled")
     terms, voters = mine_terms(rows)
     model = ToxicityModel(terms, voters)
 
@@ -184,6 +184,7 @@ def train_toxicity(labelled: DataFrame, sample: int = 6000) -> ToxicityModel:
 
     keyed = rows.select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text", F.lit(2)).alias("key"))
     few = keyed.mapInArrow(run, "ids array<int>, measures array<double>, toxic int, key long").orderBy("key", "toxic", "ids", "measures").limit(sample).toArrow()
+    unstage(rows)
     given = np.array(few["toxic"].to_pylist(), np.int64)
     n = len(terms)
     if not given.size or not given.any():
