@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import small_batches, staged, unstage
+from haplospark.llm.common import free_shuffles, small_batches, staged, unstage
 
-K = 32  # neighbours of a node
-REVERSE = 32  # nodes it is a neighbour of that join in, best first
-NEW = 8  # acquaintances that each node takes from one gathering
+K = 40  # neighbours of a node
+REVERSE = 40  # nodes it is a neighbour of that join in, best first
+NEW = 12  # acquaintances that each node takes from one gathering
 BLOCK = 256  # nodes compared with each other at the start
 TREES = 12  # orders of the nodes
 PLANES = 24  # hyperplanes of an order
@@ -121,7 +121,7 @@ def _best(pairs: DataFrame, most: int = K) -> DataFrame:
     return once.groupBy("node").agg(near.alias("near"))
 
 
-def build_graph(nodes: DataFrame, dim: int, rounds: int = 6) -> DataFrame:
+def build_graph(nodes: DataFrame, dim: int, rounds: int = 7) -> DataFrame:
     """NN-descent over (node, vec): (node, near)."""
     ordered = staged(nodes.mapInArrow(_order_rows(dim), "tree int, key long, node long, half binary"), "orders")
     parts = ordered.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -142,6 +142,7 @@ def build_graph(nodes: DataFrame, dim: int, rounds: int = 6) -> DataFrame:
         better = staged(_best(links.select("node", "other", "score").unionByName(fresh)), "graph")
         unstage(graph)
         graph = better
+        free_shuffles(nodes.sparkSession)
     unstage(halves)
     return graph
 
@@ -153,7 +154,7 @@ def _dot(a: Column, b: Column) -> Column:
 class VectorIndex:
     """A graph over the distinct vectors of (id, vec) rows, and the rows each stands for."""
 
-    def __init__(self, vectors: DataFrame, id_col: str, vec_col: str, rounds: int = 6):
+    def __init__(self, vectors: DataFrame, id_col: str, vec_col: str, rounds: int = 7):
         small_batches(vectors.sparkSession)
         self.rows = staged(usable(vectors, id_col, vec_col), "vectors")
         classes = staged(self.rows.groupBy("vec").agg(F.min("id").alias("node")), "nodes")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,24 +26,53 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/haplospark/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []  # tables written in this process, until they are removed
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, stage_path(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
+    _WRITTEN.append(path)
     out = spark.read.schema(schema).parquet(path)
     out._stage_path = path
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
+def written() -> list[str]:
+    """Paths of the tables written so far and not removed."""
+    return list(_WRITTEN)
+
+
+def remove_written(spark: SparkSession, paths: list[str], used_by: DataFrame) -> None:
+    """Remove those tables that `used_by` doesn't read."""
+    files = used_by.inputFiles() if paths else []
+    name = lambda p: p.rsplit("/", 1)[-1]  # noqa: E731  names are unique, schemes and authorities may differ
+    for path in paths:
+        if path in _WRITTEN and not any(name(path) in f for f in files):
+            _remove(spark, path)
+
+
 def unstage(*frames: DataFrame) -> None:
     """Remove staged tables that no later plan reads."""
     for df in frames:
         path = getattr(df, "_stage_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(df.sparkSession, path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that are no longer held, rather than when memory happens to run low."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -62,6 +92,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     """Write df once, hashed into buckets by key, so that later joins on key move only their other side."""
     spark, n = df.sparkSession, shuffle_parts(df.sparkSession)
     path, table = stage_path(spark, name), f"haplospark_{name}_{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table, format="parquet")
     out = spark.table(table)
     out._stage_path = path

@@ -473,7 +473,7 @@ def test_pipeline(spark, docs):
     assert set(out.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} and out.count() > 100
     stage, sf = docs, "/root/testdata/sf0.001"
     for name, f in corpus_pipeline.STAGES[1:-1]:
-        stage = f(spark, stage, sf)
+        stage = corpus_pipeline.staged(f(spark, stage, sf), name)
         assert stage.columns == docs.columns, name
         assert f(spark, empty(docs), sf).count() == 0
     assert corpus_pipeline.STAGES[0][1](spark, docs, sf).columns == docs.columns
