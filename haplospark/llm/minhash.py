@@ -141,7 +141,7 @@ class Sampler:
         return out
 
 
-def _signature_rows(weights: np.ndarray, id_type: pa.DataType | None = None):
+def _signature_rows(weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, sampler = Hasher(BYTES), Sampler()
         for rows, texts in _blocks(batches):

@@ -121,7 +121,7 @@ def word_bpe(path: str) -> Callable[[list[bytes]], list[bytes]]:
     return encode
 
 
-def _piece_rows(tokenizer: str, capacity: int, end: int, with_ids: bool, id_type: pa.DataType):
+def _piece_rows(tokenizer: str, capacity: int, end: int, with_ids: bool):
     stop = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: i
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     schema = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long"
     pieces = staged(
-        texts.mapInArrow(_piece_rows(tokenizer, capacity, end, with_ids, None), f"{schema}, nth long, part long" + ", ids binary" * with_ids), "pieces"
+        texts.mapInArrow(_piece_rows(tokenizer, capacity, end, with_ids), f"{schema}, nth long, part long" + ", ids binary" * with_ids), "pieces"
     )
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
