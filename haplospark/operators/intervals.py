@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from haplospark.operators.clustering import islands
 
-BIN = 100_000  # bases; regions and variants meet by contig and bin
-SMALL_MASK = 200_000  # regions up to which a mask is broadcast, some 10 MB
+BIN = 16_384  # bases; regions and variants meet by contig and bin
 
 
 def mask_problems(regions: DataFrame) -> DataFrame:
@@ -45,33 +44,31 @@ def subtract_mask(a: DataFrame, b: DataFrame, high: int) -> DataFrame:
     """Parts of merged mask a outside merged mask b; high: beyond every stop."""
     free = complement(b, 0, high)
     whole = a.join(b.select("contig").distinct(), "contig", "left_anti")
-    x, y = a.alias("x"), free.alias("y")
-    meet = x.join(y, (F.col("x.contig") == F.col("y.contig")) & (F.col("x.start") < F.col("y.stop")) & (F.col("y.start") < F.col("x.stop")))
-    part = meet.select("x.contig", F.greatest("x.start", "y.start").alias("start"), F.least("x.stop", "y.stop").alias("stop"))
+    hull = a.groupBy("contig").agg(F.min("start").alias("h0"), F.max("stop").alias("h1"))
+    near = free.join(hull, "contig").select("contig", F.greatest("start", "h0").alias("y0"), F.least("stop", "h1").alias("y1")).where("y0 < y1")
+    meet = binned(a.select("contig", F.col("start").alias("x0"), F.col("stop").alias("x1")), F.col("x0"), F.col("x1")).join(binned(near, F.col("y0"), F.col("y1")), ["contig", "_bin"])
+    part = meet.where("x0 < y1 and y0 < x1").select("contig", F.greatest("x0", "y0").alias("start"), F.least("x1", "y1").alias("stop")).distinct()
     return part.unionByName(whole.select("contig", "start", "stop")).where("start < stop")
 
 
-def _binned(df: DataFrame, start: Column, stop: Column) -> DataFrame:
+def binned(df: DataFrame, start: Column, stop: Column) -> DataFrame:
+    """A row per bin that [start, stop) touches."""
     return df.withColumn("_bin", F.explode(F.sequence((start / BIN).cast("long"), (F.greatest(start, stop - 1) / BIN).cast("long"))))
 
 
-def located(variants: DataFrame, regions: DataFrame, n_regions: int | None = None) -> DataFrame:
+def located(variants: DataFrame, regions: DataFrame) -> DataFrame:
     """loc of each variant: INSIDE, OUTSIDE, BORDER or OFF CTG, by one outer join and one aggregation.
 
     variants: contig, start, stop (half-open; an insertion stops where it starts plus its anchor), type and a key
-    `vid`; regions: contig, start, stop, sorted and disjoint.  Small masks are broadcast (n_regions tells
-    their checked number); others meet variants by contig and bin.  A null mask is handled by the caller.
+    `vid`; regions: contig, start, stop, sorted and disjoint.  Regions and variants meet by contig and bin, an
+    equality that Spark may hash or sort as sizes ask.  A null mask is handled by the caller.
     """
-    n = regions.count() if n_regions is None else n_regions
     hull = regions.groupBy("contig").agg(F.min("start").alias("h_start"), F.max("stop").alias("h_stop"))
-    v = variants.join(F.broadcast(hull), "contig", "left") if n <= SMALL_MASK else variants.join(hull, "contig", "left")
+    v = variants.join(hull, "contig", "left")
     inside_hull = F.col("h_start").isNotNull() & (F.col("start") < F.col("h_stop")) & (F.col("stop") > F.col("h_start"))
     r = regions.select("contig", F.col("start").alias("r_start"), F.col("stop").alias("r_stop"))
     meets = (F.col("r_start") < F.col("stop")) & (F.col("r_stop") > F.col("start"))
-    if n <= SMALL_MASK:
-        hit = v.where(inside_hull).join(F.broadcast(r), "contig").where(meets)
-    else:
-        hit = _binned(v.where(inside_hull), F.col("start"), F.col("stop")).join(_binned(r, F.col("r_start"), F.col("r_stop")), ["contig", "_bin"]).where(meets)
+    hit = binned(v.where(inside_hull), F.col("start"), F.col("stop")).join(binned(r, F.col("r_start"), F.col("r_stop")), ["contig", "_bin"]).where(meets)
     whole = (F.col("r_start") <= F.col("start")) & (F.col("stop") <= F.col("r_stop")) & ~((F.col("type") == "INS") & (F.col("start") == F.col("r_stop") - 1))
     per = hit.groupBy("vid").agg(F.max(whole).alias("whole"))
     out = v.join(per, "vid", "left")

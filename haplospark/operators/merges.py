@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from haplospark.operators.intervals import BIN, binned
+
 KEY = ("contig", "pos", "ref", "alt")
 
 
@@ -59,9 +61,9 @@ def first_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def stratify(variants: DataFrame, strata: DataFrame) -> DataFrame:
     """variants once for each stratum of which some region holds their position."""
-    x, s = variants.alias("x"), strata.alias("s")
-    hit = x.join(s, (F.col("x.contig") == F.col("s.contig")) & (F.col("x.pos") >= F.col("s.start")) & (F.col("x.pos") < F.col("s.stop")))
-    return hit.select("x.*", F.col("s.stratum").alias("stratum")).distinct()
+    s = binned(strata.select("contig", F.col("start").alias("_lo"), F.col("stop").alias("_hi"), "stratum"), F.col("_lo"), F.col("_hi"))
+    x = variants.withColumn("_bin", (F.col("pos") / BIN).cast("long"))
+    return x.join(s, ["contig", "_bin"]).where("pos >= _lo and pos < _hi").select(*variants.columns, "stratum").distinct()
 
 
 def multi_match(evaluations: DataFrame) -> DataFrame:
