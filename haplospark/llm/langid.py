@@ -178,14 +178,22 @@ def _sample_rows(each: int):
 def train_language_model(labelled: DataFrame, per_language: int = 300, windows: int = 16) -> BiGRU | None:
     """Fit on (text, lang): at most `per_language` documents of a language, `windows` spread windows of each.
 
-    Documents are chosen by the hash of their text, so any order of the rows gives the same model; null or
+    Documents are chosen by the hash of their text, copies once, so any order of the rows gives the same model; null or
     empty texts and null languages are left out; None if nothing is left.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null and text <> ''")
-    key = F.xxhash64("text", F.lit(1))
-    best = rows.select("lang", "text", key.alias("key")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).where(F.col("n") <= per_language)
-    got = best.select("lang", "text").mapInArrow(_sample_rows(windows), "lang string, part binary").toArrow()
+    keyed = rows.select("lang", "text", F.xxhash64("text", F.lit(1)).alias("key"))
+    # which keys are the least of a language is told from the keys alone; texts of the last key may be more
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    last = {r["lang"]: r["key"] for r in keyed.select("lang", "key").distinct().withColumn("n", rank).where(F.col("n") <= per_language).groupBy("lang").agg(F.max("key").alias("key")).collect()}
+    if not last:
+        return None
+    limit = F.lit(None).cast("long")
+    for lang, key in sorted(last.items()):
+        limit = F.when(F.col("lang") == lang, F.lit(key)).otherwise(limit)
+    once = keyed.where(F.col("key") <= limit).dropDuplicates(["lang", "key"])
+    got = once.select("lang", "text").mapInArrow(_sample_rows(windows), "lang string, part binary").toArrow()
     if not got.num_rows:
         return None
     part, lang = np.array(got["part"].to_pylist(), object), np.array(got["lang"].to_pylist(), object)
