@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -231,27 +232,31 @@ def _sorted_out(ranked: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     return done, open_
 
 
+def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the union of intervals; those that touch are one."""
+    if not len(begin):
+        return begin, end
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    new = np.concatenate([[True], begin[1:] > end[:-1]])
+    return begin[new], end[np.concatenate([new[1:], [True]])]
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Remove the union of the intervals of each text."""
     for batch in slices(batches, 256):
         offsets, data = binary_parts(batch.column("text"))
         cuts = batch.column("cuts")
+        begin, end = (cuts.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("b", "e"))
+        at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(cuts), 0).to_numpy(zero_copy_only=False))])
         out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
         for i in range(batch.num_rows):
             text = data[offsets[i] : offsets[i + 1]]
-            kept, spans, at = [], 0, 0
-            gone = sorted((c["b"], c["e"]) for c in cuts[i].as_py() or ())
-            for b, e in gone:
-                if b > at or not spans:
-                    kept.append(text[at:b])
-                    spans, at = spans + 1, e
-                else:
-                    at = max(at, e)
-            kept.append(text[at:])
-            left = b"".join(kept)
+            b, e = merged(begin[at[i] : at[i + 1]], end[at[i] : at[i + 1]])
+            left = b"".join(text[x:y] for x, y in zip([0, *e.tolist()], [*b.tolist(), len(text)]))
             out["n_bytes"].append(len(text))
             out["n_removed"].append(len(text) - len(left))
-            out["n_spans"].append(spans)
+            out["n_spans"].append(len(b))
             out["kept"].append(left)
         carried = [c for c in batch.schema.names if c not in ("text", "cuts")]
         yield pa.RecordBatch.from_arrays(
