@@ -26,6 +26,8 @@ SPACE = "▁"
 PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
 CACHE_PARTS = 600_000  # encoded parts that a worker keeps
 BASE = 0x9E3779B97F4A7C15 | 1
+MARK_BITS = 21
+MARK = np.uint64((1 << MARK_BITS) - 1)
 
 
 class Pieces:
@@ -62,6 +64,8 @@ class Pieces:
         self.scores = np.array([s for _, s, _ in plain])[order]
         self.ids = np.array([i for _, _, i in plain])[order]
         self.unknown_score = float(self.scores.min()) - 10.0
+        self.maybe = np.zeros(1 << MARK_BITS, bool)  # spares most substrings the search among the keys
+        self.maybe[self.keys & MARK] = True
 
     def _key(self, piece: str) -> np.uint64:
         codes = np.array([[ord(c) for c in piece]], np.uint64)
@@ -90,24 +94,27 @@ class Pieces:
         for end in range(1, length + 1):
             for size in range(min(self.longest, end), 0, -1):
                 key = self._names(prefix, end - size, end)
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                known = self.keys[at] == key
-                score = np.where(known, self.scores[at], self.unknown_score if size == 1 else -np.inf)
-                total = best[:, end - size] + score
-                better = total > best[:, end]
-                best[better, end] = total[better]
-                back[better, end] = size
-                piece[better, end] = np.where(known, self.ids[at], -1)[better]
+                rows = np.flatnonzero(self.maybe[key & MARK])
+                at = np.minimum(np.searchsorted(self.keys, key[rows]), len(self.keys) - 1)
+                known = self.keys[at] == key[rows]
+                rows, at = rows[known], at[known]
+                total = best[rows, end - size] + self.scores[at]
+                better = total > best[rows, end]
+                rows, at = rows[better], at[better]
+                best[rows, end], back[rows, end], piece[rows, end] = total[better], size, self.ids[at]
+                if size == 1:
+                    rows = np.flatnonzero(best[:, end - 1] + self.unknown_score > best[:, end])
+                    best[rows, end], back[rows, end], piece[rows, end] = best[rows, end - 1] + self.unknown_score, 1, -1
         out = []
-        for row, part in enumerate(parts):
+        for part, score, sizes, found in zip(parts, best[:, length].tolist(), back.tolist(), piece.tolist()):
             ids, at = [], length
             while at:
-                if piece[row, at] >= 0:
-                    ids.append(int(piece[row, at]))
+                if found[at] >= 0:
+                    ids.append(found[at])
                 else:
                     ids.extend(int(i) for i in self.byte_ids[np.frombuffer(part[at - 1].encode("utf-8", "replace"), np.uint8)][::-1])
-                at -= back[row, at]
-            out.append((float(best[row, length]), ids[::-1]))
+                at -= sizes[at]
+            out.append((score, ids[::-1]))
         return out
 
     def parts(self, text: str) -> list[str]:
