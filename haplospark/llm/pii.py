@@ -34,7 +34,7 @@ LOOSE = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])\(?0?[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{3,4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9_-]{20,128}+",
+    "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9_-]{20,}+",
     "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret", "name")
