@@ -12,19 +12,22 @@ from __future__ import annotations
 import os
 import zlib
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import binary_parts, slices, small_batches, staged
+from haplospark.llm.common import binary_parts, small_batches, staged
 
 CACHE_WORDS = 1_000_000  # tokenised words that a worker keeps, some 170 MB
+MARKS = b".,;:!?"
+COMBINING = "[\u0300-\u037f]"  # marks that compose with an ASCII letter are all among these
 
 
 class SpaceTree:
@@ -89,64 +92,112 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> list[tuple[int, in
     return steps
 
 
-@lru_cache(maxsize=1)  # a worker keeps its words from task to task
-def word_bpe(path: str) -> Callable[[list[bytes]], list[bytes]]:
-    """Tokenises texts to little-endian unsigned 32-bit ids, word by word, keeping words it has seen.
+class WordBpe:
+    """Tokenises texts word by word, keeping the ids of words it has seen.
 
     The tokenizer drops white space and lets nothing reach over it, so the ids of a text are those of its
-    parts between ASCII white space, one after another.
+    parts between ASCII white space, one after another.  It folds case, so ASCII letters are folded first, but
+    not in texts with combining marks: a mark may compose with a small letter only.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    cache: dict[bytes, bytes] = {}
-
-    def encode(texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        new = list(set(chain.from_iterable(words)).difference(cache))
-        if len(cache) + len(new) > CACHE_WORDS:
-            first = list(islice(cache.items(), CACHE_WORDS // 2))  # words met early are the frequent ones
-            cache.clear()
-            cache.update(first)
-            new = list(set(chain.from_iterable(words)).difference(cache))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            done = model.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(done.ids, "<u4")
-            cut = np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(part) + 1)).tolist()
-            cache.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, cut, cut[1:]))
-        return [b"".join(map(cache.__getitem__, w)) for w in words]
-
-    return encode
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        self._keep({}, np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+    def _keep(self, index: dict[bytes, int], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.index, self.ids, self.ends = index, ids, ends  # the ids of word i are ids[ends[i]:ends[i + 1]]
+
+    def _ids(self, word: bytes) -> list[int]:
+        return [t.id for t in self.model.model.tokenize(word.decode())]
+
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of words not seen before."""
+        found: list[list[int] | None] = []
+        marks: dict[bytes, list[int]] = {}
+        for w in words:
+            letters = w.rstrip(MARKS)
+            if letters.isalpha() and letters.islower():  # a run of letters and a run of marks are tokens' borders
+                ids, mark = self._ids(letters), w[len(letters) :]
+                if mark:
+                    if mark not in marks:
+                        marks[mark] = self._ids(mark)
+                    ids += marks[mark]
+                found.append(ids)
+            else:
+                found.append(None)
+        rest = [i for i, x in enumerate(found) if x is None]
+        for at in range(0, len(rest), 10_000):
+            part = rest[at : at + 10_000]
+            for i, e in zip(part, self.model.encode_batch_fast([words[i].decode("utf-8", "replace") for i in part], add_special_tokens=False)):
+                found[i] = e.ids
+        own = np.arange(len(self.index), len(self.index) + len(words))
+        self.index.update(zip(words, own.tolist()))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)])
+        return own
+
+    def __call__(self, texts: pa.Array, stop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by stop, and where each text begins (n + 1)."""
+        texts = texts.fill_null("")
+        folded = pc.ascii_lower(texts)
+        _, data = binary_parts(texts)
+        raw = np.frombuffer(data, np.uint8)
+        if ((raw == 0xCC) | (raw == 0xCD)).any():
+            folded = pc.if_else(pc.match_substring_regex(texts, COMBINING), texts, folded)
+        words = pc.ascii_split_whitespace(folded)
+        coded = words.flatten().cast(pa.binary()).dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        if len(self.index) > CACHE_WORDS:
+            n = CACHE_WORDS // 2  # words met early are the frequent ones
+            self._keep(dict(islice(self.index.items(), n)), self.ids[: self.ends[n]], self.ends[: n + 1])
+        own = np.fromiter(map(self.index.get, known, repeat(-1)), np.int64, len(known))
+        new = np.flatnonzero(own < 0).tolist()
+        if new:
+            own[new] = self._learn([known[i] for i in new])
+        first, code = self.ends[own], coded.indices.to_numpy()
+        n = (self.ends[own + 1] - first)[code]
+        before = np.concatenate([[0], np.cumsum(n)])
+        offsets = words.offsets.to_numpy()
+        begin = before[offsets - offsets[0]] + np.arange(len(offsets))  # every text has a stop of its own
+        out = np.full(begin[-1], stop, "<u4")
+        place = np.ones(len(out), bool)
+        place[begin[1:] - 1] = False
+        out[place] = self.ids[np.repeat(first[code] - before[:-1], n) + np.arange(before[-1])] if before[-1] else 0
+        return out, begin
 
 
-def _piece_rows(tokenizer: str, capacity: int, end: int, with_ids: bool):
-    stop = np.array([end], "<u4").tobytes()
+@lru_cache(maxsize=1)  # a worker keeps its words from task to task
+def word_bpe(path: str) -> WordBpe:
+    return WordBpe(path)
+
 
+def _piece_rows(tokenizer: str, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = word_bpe(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches, 512):
-            offsets, data = binary_parts(batch.column("text"))
-            texts = [bytes(data[a:b]) for a, b in zip(offsets, offsets[1:])]
-            row, piece, start, length, crc, nth, ids = [], [], [], [], [], [], []
-            for i, tokens in enumerate(encode(texts)):
-                tokens += stop
-                for k, at in enumerate(range(0, len(tokens), 4 * capacity)):
-                    own = tokens[at : at + 4 * capacity]
-                    n = len(own) // 4
-                    row.append(i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(n)
-                    crc.append(zlib.crc32(own))
-                    nth.append(seen[n])
-                    seen[n] += 1
-                    if with_ids:
-                        ids.append(own)
-            out = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc, nth)), pa.array([part] * len(row), pa.int64())]
-            yield pa.RecordBatch.from_arrays(out + [pa.array(ids, pa.binary())] * with_ids, ["doc_id", "piece", "start", "length", "ids_crc32", "nth", "part"] + ["ids"] * with_ids)
+        for batch in batches:
+            tokens, begin = encode(batch.column("text"), end)
+            size = np.diff(begin)
+            pieces = -(-size // capacity)
+            row = np.repeat(np.arange(len(size)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(capacity, size[row] - start)
+            at = (begin[row] + start).tolist()
+            own = [tokens[a : a + n] for a, n in zip(at, length.tolist())]
+            nth = []
+            for n in length.tolist():
+                nth.append(seen[n])
+                seen[n] += 1
+            out = [
+                batch.column("doc_id").take(pa.array(row)),
+                pa.array(piece.astype(np.int32)),
+                *(pa.array(x, pa.int64()) for x in (start, length, list(map(zlib.crc32, own)), nth, np.full(len(row), part))),
+            ]
+            yield pa.RecordBatch.from_arrays(out + [pa.array([x.tobytes() for x in own], pa.binary())] * with_ids, ["doc_id", "piece", "start", "length", "ids_crc32", "nth", "part"] + ["ids"] * with_ids)
 
     return run
 
