@@ -27,6 +27,7 @@ def stage_path(spark: SparkSession, name: str) -> str:
 
 
 _WRITTEN: list[str] = []  # tables written in this process, until they are removed
+_NAMED: dict[str, str] = {}  # names in the catalog of those that are bucketed, by path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +42,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
+    if path in _NAMED:
+        spark.sql(f"DROP TABLE IF EXISTS {_NAMED.pop(path)}")
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     if path in _WRITTEN:
@@ -93,6 +96,7 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     spark, n = df.sparkSession, shuffle_parts(df.sparkSession)
     path, table = stage_path(spark, name), f"haplospark_{name}_{uuid.uuid4().hex}"
     _WRITTEN.append(path)
+    _NAMED[path] = table
     df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table, format="parquet")
     out = spark.table(table)
     out._stage_path = path

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from haplospark.llm.common import remove_written, staged, written
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -97,8 +100,24 @@ def op10_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFram
     return score_toxicity(docs, model, carry=("doc_id", "held_out"))
 
 
+def _tidy(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """f, with its result written where it wrote tables on its way, so that those can go at once."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = set(written())
+        out = f(spark, sf_dir)
+        left = [p for p in written() if p not in before]
+        if left:
+            out = staged(out, "result")
+            remove_written(spark, left, out)
+        return out
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: _tidy(f) for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:

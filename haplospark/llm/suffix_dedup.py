@@ -1,20 +1,23 @@
 """Suffix-array deduplication: remove every byte covered by a long string that also starts elsewhere.
 
-Distributed prefix doubling on a sparse set of positions.  A full suffix array would rank every byte; here
-only *anchors* are ranked: positions whose 100-byte string has the least hash in some window of 400 bytes.
-Equal 400-byte strings hold the same anchors at the same places, so no repeat is lost, and about one byte in
-150 is ranked.  An anchor stands for the windows that hold it, given as offsets o (the window starts o bytes
-before the anchor, 0 <= o <= 300).
+Prefix doubling, on a sparse set of positions.  A full suffix array would rank every byte in every round; here
+only *anchors* are ranked: positions whose string of a quarter of the length has the least hash in some window
+of the length.  (Numbers below are for 400 bytes.)  Equal 400-byte strings hold the same anchors at the same
+places, so no repeat is lost, and about one byte in 150 is ranked.  An anchor stands for the windows that hold
+it, given as offsets o (the window starts o bytes before the anchor, 0 <= o <= 300).
 
-Each round names (ranks) strings around the anchors, deals rank and position by rank, and keeps:
+Each round ranks strings around the anchors, deals rank and position by rank, and tells apart:
 
 * strings whose rank is unique: no window of this range repeats, drop the range;
 * ranges whose whole union of windows repeats: all its windows repeat, the union is removed;
-* the others: cut the range and rank again at a greater length, the new rank being a pair of the old rank and
-  the name of the longer string.  What all windows of a range share grows 100, 337, 385, 397, 400 bytes.
-
-The last round ranks single 400-byte windows, so the result is exact (names are 64-bit, paired with the rank
-of the round before).  Groups are counted with partial aggregation and never gathered.
+* the others: cut the range and rank again at a greater length.  The new rank is the pair of the old rank and the
+  names of what the string gains before and behind, so no round reads again what an earlier one has ranked.
+
+What all windows of a range share grows 100, 337, 385, 397, 400 bytes: the *rest* to the threshold shrinks to a
+quarter each round, where plain doubling would double the length.  Doubling would reach 400 in two rounds, but
+could not say which of an anchor's 301 windows repeat without ranking all of them.  The last round ranks single
+400-byte windows, so the result is exact (ranks are 64-bit names).  Groups are counted with partial aggregation
+and never gathered.
 """
 
 from __future__ import annotations
@@ -31,7 +34,6 @@ from pyspark.sql import types as T
 
 from haplospark.llm.common import binary_parts, bucketed, keyed_texts, mix64, slices, small_batches, staged, unstage
 
-SEED = 100  # bytes named at an anchor in the first round
 BLOCK = 1 << 18  # bytes hashed at a time
 BASE = 0x9E3779B97F4A7C15 | 1
 WIDTHS = (64, 16, 4, 1)  # offsets per range, round by round
@@ -67,6 +69,11 @@ class Hasher:
         return mix64((prefix[end] - prefix[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64))
 
 
+def seed_of(length: int) -> int:
+    """Bytes ranked at an anchor in the first round."""
+    return length // 4
+
+
 def _sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     """best over values[i:i+width] for each i, in two passes over blocks of that width."""
     n = len(values)
@@ -100,8 +107,9 @@ def _pieces(offsets: np.ndarray, length: int) -> Iterator[list[tuple[int, int, i
 
 
 def anchors_of(offsets: np.ndarray, data: memoryview, length: int, hasher: Hasher) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, position, least offset, greatest offset, name of the core, name of the union) of each anchor."""
-    reach = length - SEED  # greatest offset
+    """(row, position, least offset, greatest offset, rank of the core, rank of the union) of each anchor."""
+    size = seed_of(length)
+    reach = length - size  # greatest offset
     raw = np.frombuffer(data, np.uint8)
     for group in _pieces(offsets, length):
         part = [raw[offsets[r] + lo : offsets[r] + hi] for r, lo, hi, _, _ in group]
@@ -109,7 +117,7 @@ def anchors_of(offsets: np.ndarray, data: memoryview, length: int, hasher: Hashe
         starts = np.concatenate([[0], np.cumsum(sizes)])
         text = np.concatenate(part)
         prefix = hasher.prefix(text)
-        seed = mix64((prefix[SEED:] - prefix[:-SEED]) * hasher.inverse[: len(text) - SEED + 1])
+        seed = mix64((prefix[size:] - prefix[:-size]) * hasher.inverse[: len(text) - size + 1])
         least = _sliding(seed, reach + 1, np.minimum)  # of each window
         valid = np.zeros(len(least), bool)
         for at, n in zip(starts, sizes):
@@ -125,7 +133,7 @@ def anchors_of(offsets: np.ndarray, data: memoryview, length: int, hasher: Hashe
         first, last = np.maximum(0, pos + length - n), np.minimum(reach, pos)
         keep = (pos >= own) & (pos < own_end) & (first <= last)
         found, row, pos, first, last = (x[keep] for x in (found, row, pos, first, last))
-        union = hasher.of(prefix, found - last, found - first + length)
+        union = _pair(seed[found], hasher.of(prefix, found - last, found), hasher.of(prefix, found + size, found - first + length), first, last)
         yield row, pos, first, last, seed[found], union
 
 
@@ -133,9 +141,10 @@ def _as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def _pair(rank: np.ndarray, name: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """New rank from the old rank, the name of a longer string, and where it lies."""
-    return mix64(rank * np.uint64(3) ^ mix64(name + (first * 1024 + last).astype(np.uint64)))
+def _pair(rank: np.ndarray, before: np.ndarray, behind: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """New rank: the old one paired with the names of what the string gains on either side, and where it lies."""
+    gained = mix64(before * np.uint64(5) + mix64(behind + ((first << 32) + last).astype(np.uint64)))
+    return mix64(rank * np.uint64(3) ^ gained)
 
 
 def _anchor_rows(length: int):
@@ -146,7 +155,7 @@ def _anchor_rows(length: int):
             offsets, data = binary_parts(batch.column(1))
             for row, pos, first, last, seed, union in anchors_of(offsets, data, length, hasher):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row]), _as_long(pos), _as_long(first), _as_long(last), _as_long(seed), _as_long(_pair(seed, union, first, last))],
+                    [pa.array(ids[row]), _as_long(pos), _as_long(first), _as_long(last), _as_long(seed), _as_long(union)],
                     ["row_id", "pos", "first", "last", "rank", "whole"],
                 )
 
@@ -180,8 +189,9 @@ CONTEXT_COLUMNS = ("row_id", "pos", "first", "last", "rank", "at", "context")
 CONTEXT = "row_id long, pos long, first long, last long, rank long, at long, context binary"
 
 
-def _split_rows(length: int, width: int):
-    """Cut each open range at multiples of width and rank the parts by what all their windows share."""
+def _split_rows(length: int, wider: int, width: int):
+    """Cut each open range, a part of a multiple of wider, at multiples of width; rank the parts by what their windows share."""
+    reach = length - seed_of(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(BLOCK)
@@ -193,15 +203,17 @@ def _split_rows(length: int, width: int):
             cuts = last // width - first // width + 1
             of = np.repeat(np.arange(len(cuts)), cuts)
             low = (np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts) + (first // width)[of]) * width
-            high = np.minimum(low + width - 1, length - SEED)
+            high = np.minimum(low + width - 1, reach)
+            old_low = first[of] // wider * wider
+            old_high = np.minimum(old_low + wider - 1, reach)
             a, b = np.maximum(first[of], low), np.minimum(last[of], high)
             anchor = starts[of] + at[of]  # where the anchor lies in its context
             # what the windows of the whole part share: also of a part that the end of a text cuts short
-            core = hasher.of(prefix, anchor - low, anchor - high + length)
-            union = hasher.of(prefix, anchor - b, anchor - a + length)
-            new = _pair(rank[of].view(np.uint64), core, low, high)
+            begin, end = anchor - low, anchor - high + length
+            new = _pair(rank[of].view(np.uint64), hasher.of(prefix, begin, anchor - old_low), hasher.of(prefix, anchor - old_high + length, end), low, high)
+            union = _pair(new, hasher.of(prefix, anchor - b, begin), hasher.of(prefix, end, anchor - a + length), a, b)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row_id[of]), pa.array(pos[of]), _as_long(a), _as_long(b), _as_long(new), _as_long(_pair(new, union, a, b))],
+                [pa.array(row_id[of]), pa.array(pos[of]), _as_long(a), _as_long(b), _as_long(new), _as_long(union)],
                 ["row_id", "pos", "first", "last", "rank", "whole"],
             )
 
@@ -267,15 +279,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_ranges(texts: DataFrame, length: int = 400) -> DataFrame:
     """(row_id, b, e): byte ranges of (row_id, text) that some repeated string of that many bytes covers."""
-    if length <= SEED:
-        raise ValueError(f"length must be over {SEED}")
+    if length < 64:
+        raise ValueError("length must be 64 or more")
     anchors = staged(texts.select("row_id", "text").mapInArrow(_anchor_rows(length), ANCHOR), "anchors")
     ranges, open_ = _sorted_out(anchors, length)
     by_text = open_.groupBy("row_id").agg(F.collect_list(F.struct("pos", "first", "last", "rank")).alias("open"))
     context = staged(texts.select("row_id", "text").join(by_text.hint("shuffle_merge"), "row_id").mapInArrow(_context_rows(length), CONTEXT), "context")
-    todo = context
+    todo, wider = context, length - seed_of(length) + 1
     for width in WIDTHS:
-        done, open_ = _sorted_out(staged(todo.mapInArrow(_split_rows(length, width), ANCHOR), "parts"), length)
+        done, open_ = _sorted_out(staged(todo.mapInArrow(_split_rows(length, wider, width), ANCHOR), "parts"), length)
+        wider = width
         ranges = ranges.unionByName(done)
         if width > 1:
             last = todo

@@ -80,6 +80,26 @@ def test_suffix_dedup_periodic_and_near_copies(spark):
     assert got == cut_slowly([t.encode() for t in texts], 400)
 
 
+@pytest.mark.parametrize("length", [64, 200, 257])
+def test_suffix_dedup_of_other_lengths(spark, length):
+    from haplospark.llm.suffix_dedup import suffix_array_dedup
+
+    rng = random.Random(length)
+    body = "".join(rng.choice("abc ") for _ in range(1500))
+    texts = [body, body[100 : 100 + length], body[700 : 699 + length], "x" + body[900:1300] + "y", "ab" * 200, body[1100:], None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in suffix_array_dedup(df, length).select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    assert got == cut_slowly([(t or "").encode() for t in texts], length)
+
+
+def test_registered_queries_leave_only_their_result(spark):
+    from haplospark.llm.common import written
+
+    before, tables = set(written()), {t.name for t in spark.catalog.listTables()}
+    out = Q.queries()["op6_suffix_array_dedup"](spark, "/root/testdata/sf0.001")
+    assert len(set(written()) - before) == 1 and {t.name for t in spark.catalog.listTables()} == tables and out.count() == 200
+
+
 # --- packing
 
 
