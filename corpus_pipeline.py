@@ -3,7 +3,8 @@
 A stage's result is written before the next stage begins; the tables that a stage wrote on its way are removed
 when the next one begins, unless its documents are read from them.
 Every stage but the last returns the columns of its documents.  A stage treats rows with null or repeated ids
-each as a document of its own, a null text as empty, and gives no rows for an empty table.
+each as a document of its own, a null text as empty, and gives no rows for an empty table.  Of near-duplicates the
+least id stays; of equal ids the first row read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from haplospark.llm.suffix_dedup import suffix_array_dedup
 ORACLE_SQL = None  # thresholds, sampling and label models have no SQL form; tests compare with brute force
 
 
+PASSAGE_BYTES = 256  # a repeat of over 50 words has as many bytes where words and their spaces have 5 on average, or more
+
 _LEFT: list[str] = []  # what the last stage wrote on its way
 
 
@@ -61,8 +64,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @_stage
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated byte ranges; characters that a cut would split go whole."""
-    cut = suffix_array_dedup(docs)
+    """Documents without the byte ranges that repeat; characters that a cut would split go whole.
+
+    All places of a repeat go, the first one too, as in the operator: which one came first is not known.  Ties need
+    no rule therefore.  Near-duplicates have gone before, so what repeats is passages, not whole documents.
+    """
+    cut = suffix_array_dedup(docs, length=PASSAGE_BYTES)
     text = F.call_function("try_validate_utf8", F.col("kept").cast("string"))
     # only texts with a split character need the slower clean-up
     clean = F.coalesce(text, F.regexp_replace(F.call_function("make_valid_utf8", F.col("kept").cast("string")), "�", ""))
