@@ -7,9 +7,11 @@
    of their weighted Jaccard similarity; samples are banded.
 3. Documents of equal words form one class, of which one member goes on.
 4. Small buckets propose all their pairs, at most six; in larger ones each member is paired with the least.  Texts of
-   each pair are compared exactly.  Larger buckets that verified links do not connect are then gone through in
-   pairs of blocks of bounded size: sketch against sketch, and what looks alike and isn't connected yet exactly,
-   so a link between two members of which neither resembles the least one is not lost.
+   each pair are compared exactly.  In larger buckets that verified links do not connect, members outside the
+   largest component are then held against all members of other components, in pairs of blocks of bounded size:
+   first sketch against sketch, then exactly, with the texts of only those members that look alike.  So a link
+   between two members of which neither resembles the least one is not lost.  The largest component is not
+   paired with itself, so a bucket costs its size times the blocks of its other members.
 5. Connected components of the verified links, by min-label propagation with pointer jumping in Spark.
 """
 
@@ -32,9 +34,9 @@ BANDS, ROWS = 12, 4
 K = BANDS * ROWS
 TABLE_BITS = 16  # draws of a sample come from a table of so many entries
 ALL_PAIRS = 4  # largest bucket of which all pairs are compared
-BLOCK_ROWS, BLOCK_WORDS = 512, 500_000  # about so many documents or words are in a block
+BLOCK_ROWS, BLOCK_WORDS = 512, 500_000  # about so many documents or words are in a block of a bucket
 BYTES = 1 << 20  # of text handled at a time
-ALIKE = 0.55  # share of equal samples from which texts are compared: 0.8 falls below it once in 10,000
+ALIKE = 20  # equal samples of 48 from which texts are compared: a pair at 0.8 has fewer once in a thousand million
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -230,20 +232,51 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "component")
 
 
+BLOCK = "key long, i int, j int, side int, band int, node long, component long, sketch binary, bands array<long>"
+
+
+class _Sketches:
+    """Which members of a pair of blocks, in different components, have alike sketches.
+
+    A pair that shares an earlier band too is left to that band's bucket.
+    """
+
+    def __init__(self, table: pa.Table):
+        self.node, self.component, self.side, band = (table[c].to_numpy() for c in ("node", "component", "side", "band"))
+        offsets, data = binary_parts(table["sketch"])
+        self.sketch = np.frombuffer(data, "<u2")[offsets[0] // 2 : offsets[-1] // 2].reshape(-1, K)
+        self.earlier = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[:, : band[0]]
+
+    def alike(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member of the first block, and the members of the second one that look like it, the most alike first."""
+        left, right = np.flatnonzero(self.side != 1), np.flatnonzero(self.side != 0)
+        for i in left.tolist():
+            own = right[right > i] if self.side[i] == 2 else right
+            own = own[self.component[own] != self.component[i]]
+            equal = (self.sketch[own] == self.sketch[i]).sum(axis=1)
+            found = np.flatnonzero((equal >= ALIKE) & ~(self.earlier[own] == self.earlier[i]).any(axis=1))
+            yield i, own[found[np.argsort(-equal[found], kind="stable")]]
+
+
+def _alike_rows(table: pa.Table) -> pa.Table:
+    """The members of a pair of blocks that look like a member of another component."""
+    table, found = table.combine_chunks(), set()
+    for i, own in _Sketches(table).alike():
+        if len(own):
+            found.update((i, *own.tolist()))
+    return table.take(pa.array(sorted(found), pa.int64()))
+
+
 def _block_links(weights: np.ndarray, least: float):
     """Links between different components within one pair of blocks of a bucket.
 
-    Pairs with alike sketches are compared exactly, the most alike first, unless links found here already
-    connect them.  A pair that shares an earlier band too is left to that band.
+    Members that look alike are compared exactly, unless links found here already connect them.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        hasher = Hasher(BYTES)
-        table = table.combine_chunks()
-        node, component, side, band = (table[c].to_numpy() for c in ("node", "component", "side", "band"))
-        offsets, data = binary_parts(table["sketch"])
-        sketch = np.frombuffer(data, "<u2")[offsets[0] // 2 : offsets[-1] // 2].reshape(-1, K)
-        earlier = table["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)[:, : band[0]]
+        hasher, table = Hasher(BYTES), table.combine_chunks()
+        blocks = _Sketches(table)
+        node, component = blocks.node, blocks.component
         offsets, data = binary_parts(table["text"])
         sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         root = {c: c for c in component.tolist()}
@@ -258,14 +291,9 @@ def _block_links(weights: np.ndarray, least: float):
                 sets[i] = weighted(shingles([data[offsets[i] : offsets[i + 1]]], hasher)[0], weights)
             return sets[i]
 
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         out = []
-        for i in left.tolist():
-            own = right[right > i] if side[i] == 2 else right
-            equal = (sketch[own] == sketch[i]).sum(axis=1)
-            first = ~(earlier[own] == earlier[i]).any(axis=1)
-            alike = np.flatnonzero((equal >= ALIKE * K) & (component[own] != component[i]) & first)
-            for j in own[alike[np.argsort(-equal[alike], kind="stable")]].tolist():
+        for i, own in blocks.alike():
+            for j in own.tolist():
                 x, y = find(component[i]), find(component[j])
                 if x != y and (s := similarity(members(i), members(j))) >= least:
                     root[max(x, y)] = min(x, y)
@@ -276,6 +304,26 @@ def _block_links(weights: np.ndarray, least: float):
     return run
 
 
+def _block_pairs(placed: DataFrame) -> DataFrame:
+    """Members of buckets of two components or more, once for each pair of blocks (i, j) that they take part in.
+
+    Blocks are numbered from those outside the bucket's largest component on; two blocks of that one make no pair.
+    """
+    parts = staged(placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("w")), "parts")
+    of = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max(F.struct("n", "component", "w")).alias("top"), F.sum("n").alias("m"), F.sum("w").alias("words"), F.count(F.lit(1)).alias("parts"))
+
+    def blocks(rows, words):
+        return F.ceil(F.greatest(rows / BLOCK_ROWS, words / BLOCK_WORDS)).cast("int")
+
+    of = of.where("parts > 1").select("key", "main", blocks(F.col("m") - F.col("top.n"), F.col("words") - F.col("top.w")).alias("others"), blocks(F.col("top.n"), F.col("top.w")).alias("mains"))
+    met = placed.join(staged(of, "buckets").hint("shuffle_merge"), "key")
+    hashed, is_main = F.xxhash64("node"), F.col("component") == F.col("main")
+    met = met.withColumn("own", F.when(is_main, F.col("others") + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int"))
+    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "band", "node", "component")
+
+
 def near_duplicates(texts: DataFrame, least: float = 0.8) -> DataFrame:
     """(row_id, component) of every row of (row_id, text); the component is the row_id of one of its members.
 
@@ -292,28 +340,24 @@ def near_duplicates(texts: DataFrame, least: float = 0.8) -> DataFrame:
     member = staged(signed.select("row_id", *same).join(classes.hint("shuffle_merge"), same).select("row_id", "node"), "member")
     nodes = signed.join(member.where("row_id = node").select("row_id").hint("shuffle_merge"), "row_id")
     banded = staged(nodes.select(F.col("row_id").alias("node"), "n_words", F.posexplode("bands").alias("band", "key")), "banded")
-    sizes = staged(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least"), F.sum("n_words").alias("words")).where("m > 1"), "sizes")
+    sizes = staged(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least")).where("m > 1"), "sizes")
     small = banded.join(sizes.where(F.col("m") <= ALL_PAIRS).hint("shuffle_merge"), "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all"))
     i_j = [(i, j) for j in range(1, ALL_PAIRS) for i in range(j)]
     few = small.select(F.explode(F.array(*[F.struct(F.try_element_at("all", F.lit(i + 1)).alias("a"), F.try_element_at("all", F.lit(j + 1)).alias("b")) for i, j in i_j])).alias("p")).select("p.*").where("b is not null")
-    large = staged(banded.drop("n_words").join(sizes.where(F.col("m") > ALL_PAIRS).hint("shuffle_merge"), "key"), "large")
+    large = staged(banded.join(sizes.where(F.col("m") > ALL_PAIRS).hint("shuffle_merge"), "key"), "large")
     star = large.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     links = verified(few.unionByName(star), texts, weights, least)
     labels = components(links)
     # larger buckets that the links leave in two components or more
     placed = staged(large.join(labels.hint("shuffle_merge"), "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("words") / BLOCK_WORDS)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    open_ = placed.join(staged(apart, "apart").hint("shuffle_merge"), "key").withColumn("blocks", blocks).withColumn("own", own)
-    open_ = staged(open_, "open")
-    used = texts.select("row_id", "text").join(open_.select(F.col("node").alias("row_id")).distinct().hint("shuffle_merge"), "row_id")
-    bodies = signed.select("row_id", "sketch", "bands").join(used.hint("shuffle_merge"), "row_id").withColumnRenamed("row_id", "node")
-    dealt = open_.join(bodies.hint("shuffle_merge"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "band", "node", "component", "sketch", "bands", "text")
-    extra = staged(dealt.groupBy("key", "i", "j").applyInArrow(_block_links(weights, least), "a long, b long, similarity double"), "links")
-    unstage(open_)
+    dealt = staged(_block_pairs(placed), "dealt")
+    sketches = signed.select(F.col("row_id").alias("node"), "sketch", "bands").join(dealt.select("node").distinct().hint("shuffle_merge"), "node")
+    alike = dealt.join(sketches.hint("shuffle_merge"), "node").select("key", "i", "j", "side", "band", "node", "component", "sketch", "bands")
+    alike = staged(alike.groupBy("key", "i", "j").applyInArrow(_alike_rows, BLOCK), "alike")
+    used = texts.select("row_id", "text").join(alike.select(F.col("node").alias("row_id")).distinct().hint("shuffle_merge"), "row_id")
+    met = alike.join(used.withColumnRenamed("row_id", "node").hint("shuffle_merge"), "node")
+    extra = staged(met.groupBy("key", "i", "j").applyInArrow(_block_links(weights, least), "a long, b long, similarity double"), "links")
+    unstage(dealt, alike)
     links = links.unionByName(extra)
     final = components(links)
     unstage(banded, sizes, large, placed)

@@ -292,6 +292,38 @@ def test_a_large_bucket_loses_no_link(spark):
     assert {got[i] for i in range(40)} == {0} and got[101] == got[100] == 100
 
 
+def test_a_bucket_of_three_components_against_brute_force(spark):
+    """Hundreds of members around three cores that look alike, and chains that touch no least member."""
+    from haplospark.llm.common import keyed_texts
+    from haplospark.llm.minhash import minhash_near_dedup, shingle_weights, shingles, similarity, weighted
+    from haplospark.llm.suffix_dedup import Hasher
+
+    rng = random.Random(12)
+    core, rows = prose(120, rng).split(), []
+    for f in range(3):
+        own = core[: 95 - 5 * f] + prose(30, rng).split()
+        for i in range(120 if f else 300):
+            w = list(own)
+            w[rng.randrange(len(w))] = f"edit{i}"
+            rows.append((len(rows), " ".join(w)))
+    w = core[:90] + prose(40, rng).split()
+    for i in range(12):  # each resembles the one before
+        w = list(w)
+        w[rng.randrange(90, len(w))] = f"step{i}"
+        rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in minhash_near_dedup(df)[0].collect()}
+    weights, hasher = shingle_weights(keyed_texts(df)), Hasher(1 << 16)
+    sets = [weighted(shingles([memoryview(t.encode())], hasher)[0], weights) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and similarity(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert got == dict(enumerate(root)) and 3 <= len(set(root)) <= 20
+
+
 def test_consistent_weighted_samples_estimate_similarity():
     from haplospark.llm.minhash import K, Sampler, similarity
 
@@ -516,7 +548,7 @@ def test_pipeline_equals_its_parts(spark):
     assert not [(i, j) for x, i in enumerate(ids) for j in ids[:x] if len(left[i] & left[j]) >= 0.83 * len(left[i] | left[j])]
     c = corpus_pipeline.staged(cut(spark, b, sf), "c")
     rows = {r["doc_id"]: r["text"] for r in c.collect()}
-    want = cut_slowly([r["text"].encode() for r in b.collect()], 400)
+    want = cut_slowly([r["text"].encode() for r in b.collect()], corpus_pipeline.PASSAGE_BYTES)
     assert sum(n - gone for n, gone, _, _ in want) - sum(len(t.encode()) for t in rows.values()) <= 6 * sum(s for _, _, s, _ in want)
     d = {r["doc_id"]: r["text"] for r in pii(spark, c, sf).collect()}
     assert set(d) == set(rows) and not [t for t in d.values() if base_spans(t) and re.search(PATTERNS["email"], t)]
