@@ -1,12 +1,15 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Rules compare a measure of a text with a cutoff.  Cutoffs come from labelled documents: among those of good
-quality in a stratum (a language), k of n exceed a cutoff; the exact binomial test of "a share of `risk` / rules of good
-documents or more exceed it" must reject at delta divided by all tests made (strata x rules x cutoffs, Bonferroni).
-Every certified cutoff then holds at once with probability 1 - delta, and the union of a stratum's rules
-falsely rejects at most a share of `risk` of its good documents.  Of the certified cutoffs the one that rejects most
-bad documents less good ones is taken; where none is certified (few labels), the rule is off in that stratum.
-The driver sees counts per stratum, rule and cutoff only, a table of fixed size.
+Each rule compares a share in a text (symbols, repeated lines, ...) with bins.  Labelled documents are dealt into two
+folds by id.  On the first one every rule learns how much a share above a bin speaks against a document (log odds,
+never below zero); a document's score is the sum over rules.  The second fold certifies a cutoff of the score in
+each stratum (a language): k of its n good documents score above the cutoff, and the exact binomial test of "a share of
+`risk` or more does" must reject.  Cutoffs are tested in a fixed sequence, the highest first, up to the first failure,
+so they need no correction among themselves; strata do, each gets delta / strata (Bonferroni).  With probability
+1 - delta all certified cutoffs reject at most a share of `risk` of their stratum's good documents.  Of the certified
+cutoffs the one that rejects most bad documents less good ones is taken; where none is certified (under 90 good
+labelled documents, with the default numbers), scores reject nothing in that stratum.
+The driver sees counts per rule and bin, and per stratum and score step: tables of fixed size.
 """
 
 from __future__ import annotations
@@ -18,12 +21,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import staged
+from haplospark.llm.common import staged, unstage
 
 SPACE = r"[\x20\x09-\x0D]+"
 RULES = ("symbols", "dup_lines", "repeats", "capitals", "shouts", "digits")
 STRATA = ("en", "de", "fr", "es")  # other languages and null form one more
-BINS = 20  # cutoffs of a rule, evenly over 0..1
+BINS = 20  # of a rule, evenly over 0..1
+STEPS, STEP = 40, 0.25  # cutoffs of the score: so many, so far apart
+FOLDS = 3  # of the labelled documents one in so many goes to the rules' weights, the others to the cutoffs
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -110,47 +115,80 @@ def binomial_below(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def choose_cutoffs(counts: dict[tuple[str, str], dict[int, tuple[int, int]]], totals: dict[str, int], risk: float, delta: float) -> dict[tuple[str, str], float]:
-    """Cutoffs by (stratum, rule); counts: good and bad documents by the last cutoff bin they exceed."""
-    risk, level, out = risk / len(RULES), delta / ((len(STRATA) + 1) * len(RULES) * BINS), {}
-    for (where, rule), bins in counts.items():
-        n, best, good, bad = totals.get(where, 0), 0, 0, 0
-        for b in range(BINS - 1, -1, -1):  # the greatest cutoff first: each lower one rejects more
-            g, x = bins.get(b, (0, 0))
+def rule_bins() -> dict[str, Column]:
+    """The last bin whose lower border each rule's value exceeds, -1 for none."""
+    return {k: F.ceil(v * BINS).cast("int") - 1 for k, v in rule_values().items()}
+
+
+def rule_weights(counts: dict[tuple[str, int], tuple[int, int]]) -> dict[str, list[float]]:
+    """Evidence against a document by rule and bin; counts: good and bad documents of each (rule, bin)."""
+    good, bad = (sum(x[q] for (r, _), x in counts.items() if r == RULES[0]) for q in (0, 1))
+    if not good or not bad:
+        return {r: [0.0] * BINS for r in RULES}
+    share = bad / (good + bad)  # nothing seen above a bin speaks neither way
+    out = {}
+    for rule in RULES:
+        own, g, x = [0.0] * BINS, 0, 0
+        for b in range(BINS - 1, -1, -1):
+            g, x = g + counts.get((rule, b), (0, 0))[0], x + counts.get((rule, b), (0, 0))[1]
+            own[b] = max(0.0, math.log((x + share) / (g + 1 - share)) - math.log(share / (1 - share)))
+        out[rule] = own
+    return out
+
+
+def score(weights: dict[str, list[float]], bins: dict[str, Column]) -> Column:
+    """Evidence of all rules against a document, 0 or more."""
+    of = [F.when(bins[r] < 0, 0.0).otherwise(F.try_element_at(F.array(*map(F.lit, w)), bins[r] + 1)) for r, w in weights.items() if any(w)]
+    return reduce(lambda a, b: a + b, of, F.lit(0.0))
+
+
+def choose_cutoffs(counts: dict[str, dict[int, tuple[int, int]]], risk: float, delta: float) -> dict[str, int]:
+    """Cutoff steps by stratum; counts: good and bad documents by the last step that their score exceeds, -1 for none."""
+    level, out = delta / (len(STRATA) + 1), {}
+    for where, steps in counts.items():
+        n, best, good, bad = sum(g for g, _ in steps.values()), 0, 0, 0
+        for b in range(STEPS - 1, -1, -1):  # the greatest cutoff first: each lower one rejects more
+            g, x = steps.get(b, (0, 0))
             good, bad = good + g, bad + x
             if good > risk * n or binomial_below(good, n, risk) > level:
-                break  # lower cutoffs reject as many good documents or more
+                break  # the sequence ends at its first failure
             if bad - good > best:
-                best, out[where, rule] = bad - good, b / BINS
+                best, out[where] = bad - good, b
     return out
 
 
-def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, lang: Column | None = None) -> dict[tuple[str, str], float]:
-    """Risk-controlled cutoffs from labels (doc_id, quality); documents that fail the base rules don't count.
+def step_of(score: Column) -> Column:
+    """The last step that a score exceeds, -1 for none; step b stands for scores over (b + 0.5) * STEP."""
+    return F.least(F.lit(STEPS), F.round(score / STEP).cast("int")) - 1
+
+
+def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.05, delta: float = 0.05, lang: Column | None = None) -> tuple[dict[str, list[float]], dict[str, int]]:
+    """Rule weights and risk-controlled cutoffs from labels (doc_id, quality); documents that fail the base rules don't count.
 
     Label rows without doc_id or quality are left out; of several labels of a document the worst counts.
     """
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     lang = F.col("doc.lang") if lang is None else lang
-    held = measured.where(~F.col("base_failed")).select(F.col("doc.doc_id").alias("doc_id"), stratum(lang).alias("stratum"), *[v.alias(k) for k, v in rule_values().items()])
-    held = held.join(labels, "doc_id")
-    # the last bin whose cutoff b/BINS the value exceeds, -1 for none
-    long = held.select("stratum", "quality", F.explode(F.create_map(*[x for k in RULES for x in (F.lit(k), F.ceil(F.col(k) * BINS).cast("int") - 1)])).alias("rule", "bin"))
-    rows = long.groupBy("stratum", "rule", "bin").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")).collect()
-    counts: dict[tuple[str, str], dict[int, tuple[int, int]]] = {}
-    totals: dict[str, int] = {}
-    for r in rows:  # at most strata x rules x (BINS + 1)
-        counts.setdefault((r["stratum"], r["rule"]), {})[r["bin"]] = (r["good"], r["bad"])
-        if r["rule"] == RULES[0]:
-            totals[r["stratum"]] = totals.get(r["stratum"], 0) + r["good"]
-    return choose_cutoffs(counts, totals, risk, delta)
-
-
-def verdict(cutoffs: dict[tuple[str, str], float], lang: Column | None = None) -> Column:
+    held = measured.where(~F.col("base_failed")).select(F.col("doc.doc_id").alias("doc_id"), stratum(lang).alias("stratum"), *[v.alias(k) for k, v in rule_bins().items()])
+    held = held.join(labels, "doc_id").where("quality in (0, 1)").withColumn("fold", F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS)
+    held = staged(held.groupBy("fold", "stratum", *RULES).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")), "held")
+    fit, check = held.where("fold = 0"), held.where("fold <> 0")
+    long = fit.select("good", "bad", F.explode(F.create_map(*[x for k in RULES for x in (F.lit(k), F.col(k))])).alias("rule", "bin"))
+    rows = long.groupBy("rule", "bin").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()  # rules x (BINS + 1) at most
+    weights = rule_weights({(r["rule"], r["bin"]): (r["good"], r["bad"]) for r in rows})
+    steps = check.groupBy("stratum", step_of(score(weights, {r: F.col(r) for r in RULES})).alias("step")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()
+    unstage(held)
+    counts: dict[str, dict[int, tuple[int, int]]] = {}
+    for r in steps:  # strata x (STEPS + 1) at most
+        counts.setdefault(r["stratum"], {})[r["step"]] = (r["good"], r["bad"])
+    return weights, choose_cutoffs(counts, risk, delta)
+
+
+def verdict(weights: dict[str, list[float]], cutoffs: dict[str, int], lang: Column | None = None) -> Column:
     """True for documents to keep."""
-    where, values = stratum(F.col("doc.lang") if lang is None else lang), rule_values()
-    broken = [(where == s) & (values[r] > F.lit(c)) for (s, r), c in sorted(cutoffs.items())]
-    return ~F.col("base_failed") & ~reduce(lambda a, b: a | b, broken, F.lit(False))
+    where, step = stratum(F.col("doc.lang") if lang is None else lang), step_of(score(weights, rule_bins()))
+    rejected = [(where == s) & (step >= b) for s, b in sorted(cutoffs.items())]
+    return ~F.col("base_failed") & ~reduce(lambda a, b: a | b, rejected, F.lit(False))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, text_col: str = "text", risk: float = 0.05, delta: float = 0.05, measures_only: bool = False) -> DataFrame:
@@ -166,4 +204,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text_col: str = "text", ri
     if measures_only:
         measured = measured.withColumn("doc", F.col("doc").dropFields(f"`{text_col}`"))
     measured = staged(measured, "measured")
-    return measured.withColumn("kept", verdict(fit_cutoffs(measured, labels, risk, delta)))
+    return measured.withColumn("kept", verdict(*fit_cutoffs(measured, labels, risk, delta)))

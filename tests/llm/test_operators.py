@@ -479,14 +479,28 @@ def test_quality_measures(spark, docs):
 
 
 def test_cutoffs_hold_their_risk():
-    from haplospark.llm.quality import BINS, RULES, STRATA, binomial_below, choose_cutoffs
+    """Over many draws of labels, a certified cutoff rejects over the risk of good documents in at most delta of them."""
+    from haplospark.llm.quality import STEPS, STRATA, binomial_below, choose_cutoffs
 
     assert abs(binomial_below(2, 10, 0.3) - sum(math.comb(10, i) * 0.3**i * 0.7 ** (10 - i) for i in range(3))) < 1e-12
-    counts = {("en", "symbols"): {-1: (9000, 100), 0: (900, 0), 5: (20, 300), 15: (0, 500)}, ("de", "symbols"): {-1: (20, 5), 10: (0, 9)}}
-    cut = choose_cutoffs(counts, {"en": 9920, "de": 20}, 0.05, 0.05)
-    assert set(cut) == {("en", "symbols")} and 1 / BINS <= cut["en", "symbols"] <= 5 / BINS
-    level = 0.05 / ((len(STRATA) + 1) * len(RULES) * BINS)
-    assert binomial_below(20, 9920, 0.05 / len(RULES)) <= level
+    assert choose_cutoffs({"en": {-1: (89, 9), 20: (0, 9)}, "de": {-1: (90, 9), 20: (0, 9)}}, 0.05, 0.05) == {"de": 20}
+    rng, risk, delta = np.random.default_rng(5), 0.05, 0.05
+    p = np.array([0.9, *np.full(STEPS, 0.1 / STEPS)])  # a step b rejects (STEPS - b) / STEPS of a tenth of good documents
+    wrong = found = 0
+    for _ in range(400):
+        good, bad = rng.multinomial(1500, p), rng.multinomial(1500, np.full(STEPS + 1, 1 / (STEPS + 1)))
+        cut = choose_cutoffs({"en": {b - 1: (int(good[b]), int(bad[b])) for b in range(STEPS + 1)}}, risk, delta)
+        found += bool(cut)
+        wrong += any(p[b + 1 :].sum() > risk + 1e-9 for b in cut.values())
+    assert found == 400 and wrong / 400 <= delta / (len(STRATA) + 1) + 0.01
+
+
+def test_quality_rejects_what_labels_call_bad(spark):
+    """Over the base rules, on the small table: labelled-bad documents go, labelled-good ones stay."""
+    sf = "/root/testdata/sf0.01"
+    out = Q.op9_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed")
+    r = out.agg(*[F.count_if((F.col("quality") == q) & ~F.col("kept")).alias(f"gone{q}") for q in (0, 1)], *[F.count_if(F.col("quality") == q).alias(f"all{q}") for q in (0, 1)]).first()
+    assert r["gone0"] >= 0.5 * r["all0"] and r["gone1"] <= 0.05 * r["all1"]
 
 
 # --- neighbours
