@@ -218,8 +218,8 @@ def nearest_rows(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str =
     """The k nearest found of each row whose id is divisible by `every`, among all other rows.
 
     Vectors that are null, zero, of another length, or hold null or non-finite components take no part, nor
-    do rows without id; rows of equal ids are one candidate; fewer candidates than k give fewer rows; an
-    empty table gives none.
+    do rows without id; each of several rows of one id is a candidate, but none is one of a query of that id, and
+    they make one query; fewer candidates than k give fewer rows; an empty table gives none.
     """
     index = VectorIndex(vectors, id_col, vec_col)
     own = index.rows.where(F.col("id") % every == 0).join(index.members.hint("shuffle_merge"), "id").select(F.col("id").alias("query_id"), "vec", "node")

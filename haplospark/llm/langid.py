@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import binary_parts, slices, small_batches
+from haplospark.llm.common import binary_parts, slices, small_batches, staged, unstage
 
 WINDOW = 128
 HIDDEN = 8
@@ -175,6 +175,13 @@ def _sample_rows(each: int):
     return run
 
 
+def _by_language(values: dict[str, int]) -> Column:
+    out = F.lit(None).cast("long")
+    for lang, value in sorted(values.items()):
+        out = F.when(F.col("lang") == lang, F.lit(value)).otherwise(out)
+    return out
+
+
 def train_language_model(labelled: DataFrame, per_language: int = 300, windows: int = 16) -> BiGRU | None:
     """Fit on (text, lang): at most `per_language` documents of a language, `windows` spread windows of each.
 
@@ -184,15 +191,21 @@ def train_language_model(labelled: DataFrame, per_language: int = 300, windows:
     small_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null and text <> ''")
     keyed = rows.select("lang", "text", F.xxhash64("text", F.lit(1)).alias("key"))
-    # which keys are the least of a language is told from the keys alone; texts of the last key may be more
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    last = {r["lang"]: r["key"] for r in keyed.select("lang", "key").distinct().withColumn("n", rank).where(F.col("n") <= per_language).groupBy("lang").agg(F.max("key").alias("key")).collect()}
-    if not last:
+    # which keys are the least of a language is told from the keys alone: first by counts of their 4096 ranges, so that
+    # only keys of the ranges up to the one that holds the last key wanted are ranked; texts of that key may be more
+    keys = staged(keyed.select("lang", "key").distinct(), "keys")
+    span = F.shiftright("key", 52)
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))
+    spans = keys.groupBy("lang", span.alias("span")).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
+    ends = spans.where(F.col("before") < per_language).groupBy("lang").agg(F.max("span").alias("x")).collect()
+    if not ends:
+        unstage(keys)
         return None
-    limit = F.lit(None).cast("long")
-    for lang, key in sorted(last.items()):
-        limit = F.when(F.col("lang") == lang, F.lit(key)).otherwise(limit)
-    once = keyed.where(F.col("key") <= limit).dropDuplicates(["lang", "key"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    few = keys.where(span <= _by_language({r["lang"]: r["x"] for r in ends})).withColumn("n", rank).where(F.col("n") <= per_language)
+    last = {r["lang"]: r["x"] for r in few.groupBy("lang").agg(F.max("key").alias("x")).collect()}
+    unstage(keys)
+    once = keyed.where(F.col("key") <= _by_language(last)).dropDuplicates(["lang", "key"])
     got = once.select("lang", "text").mapInArrow(_sample_rows(windows), "lang string, part binary").toArrow()
     if not got.num_rows:
         return None

@@ -528,6 +528,8 @@ def test_neighbours(spark):
     assert set(got) == set(range(0, 1500, 50)) and hit / 150 > 0.95
     assert [v for v, _ in got[250]] == [7, 200, 201, 202, 203]
     assert nearest_rows(df.where("false")).count() == 0
+    again = df.where("vec_id in (50, 51, 52)").unionByName(df.where("vec_id in (50, 51)"))
+    assert sorted((r["query_id"], r["vec_id"]) for r in nearest_rows(again, 50, 5).collect()) == [(50, 51), (50, 51), (50, 52)]
     assert [(r["query_id"], r["vec_id"]) for r in nearest_rows(df.where("vec_id in (50, 51)"), 50, 5).collect()] == [(50, 51)]
 
 
