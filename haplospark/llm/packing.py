@@ -23,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import binary_parts, small_batches, staged
+from haplospark.llm.common import binary_parts, slices, small_batches, staged
 
-CACHE_WORDS = 1_000_000  # tokenised words that a worker keeps, some 170 MB
+CACHE_WORDS = 600_000  # tokenised words that a worker keeps, some 100 MB; one batch may go beyond
 MARKS = b".,;:!?"
 COMBINING = "[\u0300-\u037f]"  # marks that compose with an ASCII letter are all among these
 
@@ -178,7 +178,7 @@ def _piece_rows(tokenizer: str, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = word_bpe(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches, 500):
             tokens, begin = encode(batch.column("text"), end)
             size = np.diff(begin)
             pieces = -(-size // capacity)
