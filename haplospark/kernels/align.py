@@ -113,14 +113,16 @@ def apply_variants(ref: str, beg: int, variants: list[tuple[int, int, str]]) ->
     return "".join(out) + ref[at - beg :]
 
 
-def max_reach(query: str, ref: str, last_change: int, budget: int, sub: int, open_: int, extend: int) -> int:
+def max_reach(query: str, ref: str, last_change: int, budget: int, sub: int, open_: int, extend: int) -> tuple[int, bool]:
     """Greatest reference column that an alignment from the start reaches at a cost within budget, off the trivial path.
 
     The trivial path runs on the diagonal of the two ends (ref shifted by the change in length) beyond the last
-    change; a cell there does not count.
+    change; a cell there does not count.  Also whether such an alignment comes to the end of either string, so that
+    longer ones might let it go on.
     """
     best, _, _ = affine_matrices(query, ref, sub, open_, extend)
     i, j = np.nonzero(best <= budget)
     shift = len(ref) - len(query)
     off = ~((j - i == shift) & (j >= last_change))
-    return int(j[off].max(initial=0))
+    i, j = i[off], j[off]
+    return int(j.max(initial=0)), bool(((i == len(query)) | (j == len(ref))).any())

@@ -95,3 +95,18 @@ def interleaved_contigs(rows: DataFrame, order: str) -> DataFrame:
     w = Window.orderBy("lo")
     before, after = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lead("lo").over(w)
     return span.withColumn("mixed", (F.coalesce(before > F.col("lo"), F.lit(False))) | F.coalesce(after < F.col("hi"), F.lit(False))).where("mixed").select("contig")
+
+
+def contig_universe(query: DataFrame, truth: DataFrame, reference: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """(contig, length, n_query, n_truth): the contigs to evaluate, also those without calls of either side.
+
+    With regions exactly their contigs, else those of either callset; length is null where the genome lacks one.
+    """
+    counts = [df.groupBy("contig").agg(F.count(F.lit(1)).alias(n)) for df, n in ((query, "n_query"), (truth, "n_truth"))]
+    if regions is not None:
+        known = regions.select("contig").distinct()
+        both = known.join(counts[0], "contig", "left").join(counts[1], "contig", "left")
+    else:
+        both = counts[0].join(counts[1], "contig", "full_outer")
+    rows = both.join(reference.select("contig", "length"), "contig", "left")
+    return rows.select("contig", "length", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_query", "n_truth")])

@@ -32,35 +32,83 @@ def phase_path(superclusters: DataFrame, keys: tuple[str, ...] = ("contig",)) ->
     costs 1, changing state costs 1, or nothing where the phase set changes; ties change.  The path is
     traced back from the cheaper end, as is on a tie.  is_switch: the state changed before this
     supercluster inside a phase set; is_flip: the state was kept, and this supercluster contradicts it.
-    One ordered fold per contig over three small numbers a row.
+
+    A change is free between phase sets, so costs start anew there, and each run of one phase set is an ordered fold of
+    its own, for either state that the run behind it may begin with.  Those states are then known from the last
+    run to the first, over two small numbers a run.
     """
     import numpy as np
 
+    w = Window.partitionBy(*keys).orderBy("sc_idx")
+    new = F.coalesce(F.col("phase_set") != F.lag("phase_set").over(w), F.lit(True)).cast("int")
+    runs = superclusters.withColumn("_new", new).withColumns({"_run": F.sum("_new").over(w.rowsBetween(*_UNTIL)), "_end": F.lead("sc_idx").over(w).isNull()}).drop("_new")
+
     def fold(pdf):
         pdf = pdf.sort_values("sc_idx").reset_index(drop=True)
-        sc, ps, n = pdf["sc_phase"].to_numpy(), pdf["phase_set"].to_numpy(), len(pdf)
+        sc, n, last = pdf["sc_phase"].to_numpy(), len(pdf), bool(pdf["_end"].iloc[-1])
         cost, swapped = [0, 0], np.zeros((2, n), bool)
         for i in range(n):
             here = [cost[0] + int(sc[i] == 1), cost[1] + int(sc[i] == 0)]
-            step = 0 if i + 1 < n and ps[i] != ps[i + 1] else 1
+            step = 0 if i + 1 == n and not last else 1
             for p in (0, 1):
                 stay, change = here[p], here[1 - p] + step
                 swapped[p, i] = not stay < change
                 cost[p] = min(stay, change)
-        state = int(cost[1] < cost[0])
-        path, switch, flip = np.zeros(n, np.int32), np.zeros(n, bool), np.zeros(n, bool)
-        for i in range(n - 1, -1, -1):
-            if swapped[state, i]:
-                if i + 1 < n and ps[i] == ps[i + 1]:
-                    switch[i + 1] = True
-                state = 1 - state
-            elif sc[i] != 2 and sc[i] != state:
-                flip[i] = True
-            path[i] = state
-        return pdf.assign(pb_phase=path, is_switch=switch, is_flip=flip)
-
-    schema = T.StructType(superclusters.schema.fields + [T.StructField("pb_phase", T.IntegerType()), T.StructField("is_switch", T.BooleanType()), T.StructField("is_flip", T.BooleanType())])
-    return superclusters.groupBy(*keys).applyInPandas(fold, schema)
+        out = {}
+        for begin in (0, 1):
+            state = int(cost[1] < cost[0]) if last else begin
+            path, switch, flip = np.zeros(n, np.int32), np.zeros(n, bool), np.zeros(n, bool)
+            for i in range(n - 1, -1, -1):
+                if swapped[state, i]:
+                    if i + 1 < n:
+                        switch[i + 1] = True
+                    state = 1 - state
+                elif sc[i] != 2 and sc[i] != state:
+                    flip[i] = True
+                path[i] = state
+            out |= {f"_path{begin}": path, f"_switch{begin}": switch, f"_flip{begin}": flip}
+        return pdf.assign(**out, _first=np.arange(n) == 0)
+
+    def begins(pdf):
+        pdf = pdf.sort_values("_run", ascending=False).reset_index(drop=True)
+        state, out = 0, []
+        for p0, p1 in zip(pdf["_path0"], pdf["_path1"]):
+            out.append(state)  # of the run behind this one
+            state = int(p1 if state else p0)
+        return pdf.assign(_state=np.array(out, np.int32))[[*keys, "_run", "_state"]]
+
+    more = [T.StructField(f"_{k}{b}", t) for b in (0, 1) for k, t in (("path", T.IntegerType()), ("switch", T.BooleanType()), ("flip", T.BooleanType()))]
+    both = runs.groupBy(*keys, "_run").applyInPandas(fold, T.StructType(runs.schema.fields + more + [T.StructField("_first", T.BooleanType())]))
+    kinds = [runs.schema[c] for c in (*keys, "_run")]
+    states = both.where("_first").select(*keys, "_run", "_path0", "_path1").groupBy(*keys).applyInPandas(begins, T.StructType([*kinds, T.StructField("_state", T.IntegerType())]))
+    rows = both.join(states, [*keys, "_run"])
+
+    def chosen(k: str) -> Column:
+        return F.when(F.col("_state") == 0, F.col(f"_{k}0")).otherwise(F.col(f"_{k}1"))
+
+    return rows.select(*superclusters.columns, chosen("path").alias("pb_phase"), chosen("switch").alias("is_switch"), chosen("flip").alias("is_flip"))
+
+
+def flip_categories(flips: DataFrame, superclusters: DataFrame, ratio: float = 0.7) -> DataFrame:
+    """(category, found, n): another tool's flips and our own, by what the distances of their superclusters say.
+
+    flips: contig, start; superclusters: contig, sc_idx, beg, end, orig_ed, swap_ed, pb_phase, flip_error.  Categories:
+    none (the block's state is free of edits), flip (the other one is), and unknown_flip or unknown_none where neither is,
+    by whether the other state saves at least `ratio` of the edits.  found: "flip" for flips of the other tool, each in
+    the first supercluster that holds it (ends included); "none" for our own flips that hold none of them.
+    Positions meet superclusters by 16 kb bins.
+    """
+    orig = F.col("pb_phase") == 0
+    kept, other = F.when(orig, F.col("orig_ed")).otherwise(F.col("swap_ed")), F.when(orig, F.col("swap_ed")).otherwise(F.col("orig_ed"))
+    saves = (1 - F.try_divide(other.cast("double"), kept)) >= ratio
+    name = F.when(kept == 0, "none").when(other == 0, "flip").when(other >= kept, "unknown_none").when(saves, "unknown_flip").otherwise("unknown_none")
+    sc = superclusters.select("contig", "sc_idx", "beg", "end", "flip_error", name.alias("category"))
+    binned = sc.withColumn("bin", F.explode(F.sequence(F.floor(F.col("beg") / 16384), F.floor(F.col("end") / 16384))))
+    points = flips.select("contig", "start", F.monotonically_increasing_id().alias("flip_id")).withColumn("bin", F.floor(F.col("start") / 16384))
+    met = points.join(binned, ["contig", "bin"]).where("start >= beg and start <= end")
+    theirs = met.groupBy("flip_id").agg(F.min_by("category", "sc_idx").alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    ours = sc.where(F.col("flip_error") != 0).join(met.select("contig", "sc_idx").distinct(), ["contig", "sc_idx"], "left_anti").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return theirs.withColumn("found", F.lit("flip")).unionByName(ours.withColumn("found", F.lit("none"))).select("category", "found", "n")
 
 
 def effective_swap(sc_phase: Column, pb_phase: Column) -> Column:

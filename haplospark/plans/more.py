@@ -80,22 +80,22 @@ def phase_set_ng50(spark, sf):
     return run.groupBy("callset").agg(F.max(F.when(F.col("run") >= F.floor(F.col("total") / 2), F.col("size"))).alias("ng50"))
 
 
-@query(f"WITH {V.SUPER} SELECT ev.event_id, st.contig, st.sc_idx FROM ev JOIN st ON ev.contig = st.contig AND ev.pos >= st.beg AND ev.pos < st.fin WHERE ev.k % 7 = 0")
+@query(f"WITH {V.SUPER} SELECT ev.event_id, st.contig, st.sc_idx FROM ev JOIN st ON ev.contig = st.contig AND ev.pos >= st.beg AND ev.pos < st.fin")
 def point_in_supercluster(spark, sf):
-    """Which superclusters hold the positions of errors: by bins, so the join has an equality."""
-    p = V.calls(spark, sf).where("k % 7 = 0").select("event_id", "contig", "pos", F.floor(F.col("pos") / 1024).alias("bin"))
+    """Which superclusters hold the positions of calls: by bins, so the join has an equality."""
+    p = V.calls(spark, sf).select("event_id", "contig", "pos", F.floor(F.col("pos") / 1024).alias("bin"))
     s = clustering.supercluster_table(V.super_(spark, sf)).select("contig", "sc_idx", "beg", "end", F.explode(F.sequence(F.floor(F.col("beg") / 1024), F.floor(F.col("end") / 1024))).alias("bin"))
     return p.join(s, ["contig", "bin"]).where("pos >= beg and pos < end").select("event_id", "contig", "sc_idx")
 
 
 @query(
-    f"""WITH {V.EV}, g AS (SELECT callset, contig, CAST(pos // 26 % 400 AS BIGINT) AS p, CASE hap WHEN 0 THEN '1|0' ELSE '0|1' END AS gt FROM ev), o AS (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY callset, contig, p) = 1)
+    f"""WITH {V.EV}, g AS (SELECT callset, contig, CAST(pos // 26 % 2000 AS BIGINT) AS p, CASE k % 3 WHEN 0 THEN '1|1' WHEN 1 THEN '1|0' ELSE '0|1' END AS gt FROM ev), o AS (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY callset, contig, p) = 1)
     SELECT contig, p AS pos, q.gt AS query_gt, t.gt AS truth_gt FROM (SELECT * FROM o WHERE callset = 'QUERY') q JOIN (SELECT * FROM o WHERE callset = 'TRUTH') t USING (contig, p) WHERE q.gt <> t.gt"""
 )
 def genotype_mismatch(spark, sf):
     """Genotypes that differ between callsets, at positions each holds once."""
     w = Window.partitionBy("callset", "contig", "pos")
-    g = V.calls(spark, sf).select("callset", "contig", (F.floor(F.col("pos") / 26) % 400).cast("long").alias("pos"), F.when(F.col("hap") == 0, "1|0").otherwise("0|1").alias("gt"))
+    g = V.calls(spark, sf).select("callset", "contig", (F.floor(F.col("pos") / 26) % 2000).cast("long").alias("pos"), F.when(F.col("k") % 3 == 0, "1|1").when(F.col("k") % 3 == 1, "1|0").otherwise("0|1").alias("gt"))
     one = g.withColumn("n", F.count(F.lit(1)).over(w)).where("n = 1")
     q = one.where("callset = 'QUERY'").select("contig", "pos", F.col("gt").alias("query_gt"))
     t = one.where("callset = 'TRUTH'").select("contig", "pos", F.col("gt").alias("truth_gt"))
@@ -103,12 +103,12 @@ def genotype_mismatch(spark, sf):
 
 
 @query(
-    f"""WITH {V.EV}, x AS (SELECT contig, pos // 40 * 40 AS start, (pos // 40 + 1 + k % 3) * 40 AS stop, event_id FROM ev WHERE k % 4 = 0), f AS (SELECT *, lag(stop) OVER (PARTITION BY contig ORDER BY start, event_id) AS ps, lag(start) OVER (PARTITION BY contig ORDER BY start, event_id) AS pb FROM x)
+    f"""WITH {V.EV}, x AS (SELECT contig, pos // 40 * 40 AS start, (pos // 40 + 1 + k % 3) * 40 AS stop, event_id FROM ev), f AS (SELECT *, lag(stop) OVER (PARTITION BY contig ORDER BY start, event_id) AS ps, lag(start) OVER (PARTITION BY contig ORDER BY start, event_id) AS pb FROM x)
     SELECT contig, pb AS start, stop FROM f WHERE ps = start"""
 )
 def external_flips(spark, sf):
     """Flips in a list of switches: two neighbours that share an end."""
-    x = V.calls(spark, sf).where("k % 4 = 0").select("contig", (F.floor(F.col("pos") / 40) * 40).alias("start"), ((F.floor(F.col("pos") / 40) + 1 + F.col("k") % 3) * 40).alias("stop"), "event_id")
+    x = V.calls(spark, sf).select("contig", (F.floor(F.col("pos") / 40) * 40).alias("start"), ((F.floor(F.col("pos") / 40) + 1 + F.col("k") % 3) * 40).alias("stop"), "event_id")
     w = Window.partitionBy("contig").orderBy("start", "event_id")
     f = x.withColumns({"ps": F.lag("stop").over(w), "pb": F.lag("start").over(w)})
     return f.where("ps = start").select("contig", F.col("pb").alias("start"), "stop")
@@ -145,3 +145,29 @@ def result_differences(spark, sf):
     e = V.evaluations(spark, sf).where("callset = 'QUERY'")
     b = e.where("k % 13 <> 0").select("event_id", F.when(F.col("k") % 10 != 0, F.col("errtype")).alias("e2"))
     return e.select("event_id", F.col("errtype").alias("e1")).join(b, "event_id", "left").where(~F.col("e1").eqNullSafe(F.col("e2")))
+
+
+@query(
+    f"""WITH {V.PATH}, d AS (SELECT contig, sc_idx, beg, fin, CAST(pb_phase AS INT) AS pb, CAST(sc_idx % 7 AS INT) AS orig_ed, CAST(sc_idx * 3 % 11 AS INT) AS swap_ed, sc_phase <> 2 AND sc_phase <> pb_phase AS own FROM pt),
+    c AS (SELECT *, CASE WHEN a = 0 THEN 'none' WHEN b = 0 THEN 'flip' WHEN b >= a THEN 'unknown_none' WHEN 1 - b / a >= 0.7 THEN 'unknown_flip' ELSE 'unknown_none' END AS category FROM (SELECT *, CASE pb WHEN 0 THEN orig_ed ELSE swap_ed END AS a, CASE pb WHEN 0 THEN swap_ed ELSE orig_ed END AS b FROM d)),
+    f AS (SELECT contig, pos // 40 * 40 AS start, event_id FROM ev WHERE type = 'SUB'), met AS (SELECT f.event_id, c.* FROM f JOIN c ON c.contig = f.contig AND f.start >= c.beg AND f.start <= c.fin)
+    SELECT category, 'flip' AS found, count(*) AS n FROM (SELECT event_id, arg_min(category, sc_idx) AS category FROM met GROUP BY 1) GROUP BY 1
+    UNION ALL SELECT category, 'none', count(*) FROM c WHERE own AND NOT EXISTS (SELECT 1 FROM met WHERE met.contig = c.contig AND met.sc_idx = c.sc_idx) GROUP BY 1"""
+)
+def flip_categories(spark, sf):
+    """Flips of a list and our own flips, by what the distances of their superclusters say."""
+    flips = V.calls(spark, sf).where("type = 'SUB'").select("contig", (F.floor(F.col("pos") / 40) * 40).alias("start"))
+    p = V.path(spark, sf).select("contig", "sc_idx", "beg", "end", "pb_phase", (F.col("sc_idx") % 7).cast("int").alias("orig_ed"), (F.col("sc_idx") * 3 % 11).cast("int").alias("swap_ed"), phasing.flip_flag(F.col("sc_phase"), F.col("pb_phase")).cast("int").alias("flip_error"))
+    return phasing.flip_categories(flips, p)
+
+
+@query(
+    f"""WITH {V.EV}, {V.RG}, q AS (SELECT contig, count(*) AS n FROM ev WHERE callset = 'QUERY' AND contig <> 'view' GROUP BY 1), t AS (SELECT contig, count(*) AS n FROM ev WHERE callset = 'TRUTH' AND contig <> 'click' GROUP BY 1),
+    l AS (SELECT contig, max(pos) + 100 AS length FROM ev GROUP BY 1)
+    SELECT r.contig, l.length, coalesce(q.n, 0) AS n_query, coalesce(t.n, 0) AS n_truth FROM (SELECT DISTINCT contig FROM rg) r LEFT JOIN q USING (contig) LEFT JOIN t USING (contig) LEFT JOIN l USING (contig)"""
+)
+def contig_universe(spark, sf):
+    """Contigs of a mask with the calls of either side, none of which is on some of them."""
+    v = V.calls(spark, sf)
+    q, t = v.where("callset = 'QUERY' and contig <> 'view'"), v.where("callset = 'TRUTH' and contig <> 'click'")
+    return intervals.contig_universe(q, t, v.groupBy("contig").agg((F.max("pos") + 100).alias("length")), V.regions(spark, sf))

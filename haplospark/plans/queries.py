@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from haplospark.config import EvalConfig
 from haplospark.functions import scalar
 from haplospark.operators import clustering, filters, intervals, merges, metrics, phasing
 from haplospark.plans import views as V
@@ -333,20 +334,36 @@ def edit_distance_bounded(spark, sf):
     return V.numbered_parts(spark, sf).select("p_partkey", F.levenshtein("ref", "alt", 5).alias("distance")).where("distance >= 0")
 
 
-@query(f"WITH {V.EDITS} SELECT * FROM ds")
+@query(f"WITH {V.EDITS} SELECT * REPLACE (round(aln_qscore, 4) AS aln_qscore) FROM (SELECT *, {V.against('aln_score', 'max(aln_score) FILTER (min_qual = 61) OVER ()')} AS aln_qscore FROM ds)")
 def distance_sweep(spark, sf):
-    """Edit distances at every quality."""
-    return metrics.distance_sweep(V.edits(spark, sf), 0, 60)
+    """Edit distances at every quality, and the score's Q score against the highest."""
+    return metrics.distance_sweep(V.edits(spark, sf), 0, 60).withColumn("aln_qscore", F.round("aln_qscore", 4))
 
 
 @query(
-    f"""WITH {V.EDITS}, r AS (SELECT *, row_number() OVER (ORDER BY edit_dist * distinct_edits, min_qual) AS r, max(edit_dist) FILTER (min_qual = 61) OVER () AS ref FROM ds),
+    f"""WITH {V.EDITS}, c AS (SELECT 'ALL' AS var_type, min_qual, edit_dist, distinct_edits, aln_score FROM ds
+      UNION ALL SELECT 'SNP', min_qual, sub_ed, sub_de, NULL FROM ds UNION ALL SELECT 'INS', min_qual, ins_ed, ins_de, NULL FROM ds UNION ALL SELECT 'DEL', min_qual, del_ed, del_de, NULL FROM ds
+      UNION ALL SELECT 'INDEL', min_qual, ins_ed + del_ed, ins_de + del_de, NULL FROM ds),
+    r AS (SELECT *, row_number() OVER (PARTITION BY var_type ORDER BY edit_dist * distinct_edits, min_qual) AS r, max(edit_dist) FILTER (min_qual = 61) OVER w AS re,
+      max(distinct_edits) FILTER (min_qual = 61) OVER w AS rd, max(aln_score) FILTER (min_qual = 61) OVER w AS rs FROM c WINDOW w AS (PARTITION BY var_type)),
     x AS (SELECT *, unnest([x for x in [CASE WHEN min_qual = 0 THEN 'NONE' END, CASE WHEN r = 1 THEN 'BEST' END, CASE WHEN min_qual = 61 THEN 'REF' END] if x IS NOT NULL]) AS threshold FROM r)
-    SELECT threshold, min_qual, edit_dist, distinct_edits, round(CASE WHEN ref = 0 OR edit_dist = 0 THEN 100.0 ELSE least(100.0, greatest(0.0, -10 * log10(edit_dist / ref))) END, 4) AS ed_qscore FROM x"""
+    SELECT var_type, threshold, min_qual, edit_dist, distinct_edits, round({V.against('edit_dist', 're')}, 4) AS ed_qscore, round({V.against('distinct_edits', 'rd')}, 4) AS de_qscore,
+      CASE WHEN var_type = 'ALL' THEN round({V.against('aln_score', 'rs')}, 4) ELSE 0.0 END AS aln_qscore FROM x"""
 )
 def distance_best(spark, sf):
-    """Distances without a threshold, at the best one, and of the reference."""
-    return metrics.best_distance(metrics.distance_sweep(V.edits(spark, sf), 0, 60), 60).withColumn("ed_qscore", F.round("ed_qscore", 4))
+    """Distances of each class of edits without a threshold, at the best one, and of the reference."""
+    best = metrics.best_distances(metrics.distance_sweep(V.edits(spark, sf), 0, 60), 60)
+    return best.withColumns({c: F.round(c, 4) for c in ("ed_qscore", "de_qscore", "aln_qscore")})
+
+
+@query(
+    f"""WITH {V.EV}, ed AS (SELECT contig, size, qual AS lo, CAST(least(61, qual + k % 30) AS INT) AS hi FROM ev), two AS (SELECT contig, size, lo, hi FROM ed WHERE lo < hi UNION ALL SELECT 'ALL', size, lo, hi FROM ed WHERE lo < hi),
+    qs AS (SELECT CAST(range AS INT) AS q FROM range(0, 62)), av AS (SELECT c.contig, q, coalesce(sum(size), 0) AS d FROM (SELECT DISTINCT contig FROM two) c CROSS JOIN qs LEFT JOIN two ON two.contig = c.contig AND lo <= q AND q < hi GROUP BY ALL)
+    SELECT contig, CAST(min(d) AS BIGINT) AS least_distance FROM av GROUP BY 1"""
+)
+def least_distances(spark, sf):
+    """Least edit distance of each contig over all quality thresholds."""
+    return metrics.least_distances(V.edits(spark, sf), 60)
 
 
 @query(
@@ -466,15 +483,15 @@ def tool_confusion(spark, sf):
 
 
 @query(
-    f"""WITH {V.EV}, x AS (SELECT contig, pos AS start, pos + 200 + k AS stop, event_id AS id FROM ev WHERE callset = 'QUERY' AND k % 5 = 0), y AS (SELECT contig, pos AS start, pos + 150 AS stop, event_id AS id FROM ev WHERE callset = 'TRUTH' AND k % 3 = 0),
+    f"""WITH {V.EV}, x AS (SELECT contig, pos AS start, pos + 200 + k AS stop, event_id AS id FROM ev WHERE callset = 'QUERY'), y AS (SELECT contig, pos AS start, pos + 150 AS stop, event_id AS id FROM ev WHERE callset = 'TRUTH'),
     j AS (SELECT x.id AS a_id, x.contig, y.id AS b_id, y.start AS b_start, row_number() OVER (PARTITION BY x.id ORDER BY y.start, y.id) AS r FROM x LEFT JOIN y ON x.contig = y.contig AND x.start < y.stop AND y.start < x.stop)
     SELECT a_id, contig, b_id, b_start FROM j WHERE r = 1"""
 )
 def error_overlap_first(spark, sf):
     """First overlapping error of another tool."""
     v = V.calls(spark, sf)
-    a = v.where("callset = 'QUERY' and k % 5 = 0").select("contig", F.col("pos").alias("start"), (F.col("pos") + 200 + F.col("k")).alias("stop"), F.col("event_id").alias("id"))
-    b = v.where("callset = 'TRUTH' and k % 3 = 0").select("contig", F.col("pos").alias("start"), (F.col("pos") + 150).alias("stop"), F.col("event_id").alias("id"))
+    a = v.where("callset = 'QUERY'").select("contig", F.col("pos").alias("start"), (F.col("pos") + 200 + F.col("k")).alias("stop"), F.col("event_id").alias("id"))
+    b = v.where("callset = 'TRUTH'").select("contig", F.col("pos").alias("start"), (F.col("pos") + 150).alias("stop"), F.col("event_id").alias("id"))
     return merges.first_overlap(a, b)
 
 
@@ -500,7 +517,7 @@ def session_batch(spark, sf):
     return sessions(V.table(spark, sf, "events"), "6 hours")
 
 
-# --- alignment kernels: no SQL form
+# --- alignment kernels
 
 
 def _genome(spark, sf):
@@ -522,12 +539,29 @@ def _sequenced(spark, sf):
         "callset", "contig", "hap", "pos", "var_idx", F.when(F.col("type") == "SUB", "SNP").otherwise(F.col("type")).alias("type"), "rlen", "size", F.col("qual").cast("float").alias("qual"), "phase_set", F.when(F.col("type") == "DEL", "").otherwise(F.expr("substring(w, 1, int(size))")).alias("alt")
     )
     v = filters.prune_overlaps(v)
-    c = clustering.reach_clusters(clustering.with_reach(v, "gap", 10))
+    c = clustering.reach_clusters(clustering.with_reach(v, "gap", EvalConfig().cluster_gap))
     sc = clustering.superclusters(clustering.cluster_table(c)).select("callset", "contig", "hap", "cluster_id", "sc_idx")
-    return split_oversize(c.join(sc, ["callset", "contig", "hap", "cluster_id"]), 1000)
-
-
-@query()
+    return split_oversize(c.join(sc, ["callset", "contig", "hap", "cluster_id"]), EvalConfig().max_supercluster_size)
+
+
+# Rows of the cost matrices by one recursion over a's letters, then the trace back by another, one operation a step.
+_AFFINE = f"""WITH RECURSIVE {V.PARTS}, st AS (SELECT p_partkey AS p, reverse(ref) AS a, reverse(alt) AS b FROM pp),
+    m AS (SELECT p, a, b, 0 AS i, [CASE j WHEN 0 THEN 0 ELSE 6 + 2 * j END for j in range(0, length(b) + 1)] AS best, [1000000 + 0 * j for j in range(0, length(b) + 1)] AS up, [CASE j WHEN 0 THEN 1000000 ELSE 6 + 2 * j END for j in range(0, length(b) + 1)] AS lf FROM st
+      UNION ALL SELECT p, a, b, i, [least(here[j], lf[j]) for j in range(1, len(here) + 1)], up, lf FROM (
+        SELECT *, [CASE j WHEN 1 THEN 1000000 ELSE list_min([here[k] + 6 + 2 * (j - k) for k in range(1, j)]) END for j in range(1, len(here) + 1)] AS lf FROM (
+          SELECT *, [CASE j WHEN 1 THEN up[j] ELSE least(up[j], old[j - 1] + CASE WHEN a[i] = b[j - 1] THEN 0 ELSE 5 END) END for j in range(1, length(b) + 2)] AS here FROM (
+            SELECT p, a, b, i + 1 AS i, best AS old, [least(best[j] + 8, up[j] + 2) for j in range(1, length(b) + 2)] AS up FROM m WHERE i < length(a))))),
+    c AS MATERIALIZED (SELECT p, a, b, i, unnest(range(0, length(b) + 1)) AS j, unnest(best) AS best, unnest(up) AS up, unnest(lf) AS lf FROM m),
+    cell AS MATERIALIZED (SELECT *, CASE WHEN i > 0 THEN a[i] END AS x, CASE WHEN j > 0 THEN b[j] END AS y, coalesce(i > 1 AND up = lag(up) OVER (PARTITION BY p, j ORDER BY i) + 2, false) AS more_i, coalesce(j > 1 AND lf = lag(lf) OVER (PARTITION BY p, i ORDER BY j) + 2, false) AS more_d FROM c),
+    tb AS (SELECT p, length(a) AS i, length(b) AS j, 'M' AS s, '' AS ops FROM st
+      UNION ALL SELECT p, CASE op WHEN 'D' THEN i ELSE i - 1 END, CASE op WHEN 'I' THEN j ELSE j - 1 END, CASE WHEN op = 'I' AND more_i THEN 'I' WHEN op = 'D' AND more_d THEN 'D' ELSE 'M' END, ops || op FROM (
+        SELECT tb.p, tb.i, tb.j, ops, more_i, more_d, CASE WHEN s = 'I' OR s = 'M' AND tb.i > 0 AND best = up THEN 'I' WHEN s = 'D' OR tb.j > 0 AND best = lf THEN 'D' WHEN x = y THEN '=' ELSE 'X' END AS op
+        FROM tb JOIN cell ON cell.p = tb.p AND cell.i = tb.i AND cell.j = tb.j WHERE tb.i > 0 OR tb.j > 0))
+    SELECT tb.p AS p_partkey, CAST(cell.best AS BIGINT) AS cost, array_to_string(list_transform(regexp_extract_all(ops, 'I+|D+|X+|=+'), lambda r: length(r) || r[1]), '') AS cigar
+    FROM tb JOIN st USING (p) JOIN cell ON cell.p = tb.p AND cell.i = length(st.a) AND cell.j = length(st.b) WHERE tb.i = 0 AND tb.j = 0"""
+
+
+@query(_AFFINE)
 def affine_align(spark, sf):
     """Affine alignment cost of neighbouring part names, and its operations."""
     import pandas as pd
@@ -562,8 +596,74 @@ def realign_clusters(spark, sf):
 
 @query()
 def reach_clusters(spark, sf):
-    """Clusters by how far realignments may reach, two rounds."""
+    """Clusters by how far realignments may reach."""
     from haplospark.operators.alignment import reach_iterations
 
     v = _sequenced(spark, sf).where("pos > 0").select("callset", "contig", "hap", "pos", "var_idx", "rlen", "alt")
-    return reach_iterations(v, _genome(spark, sf), rounds=2).groupBy("callset", "contig", "hap").agg(F.countDistinct("cluster_id").alias("n_clusters"), F.count(F.lit(1)).alias("n_vars"))
+    return reach_iterations(v, _genome(spark, sf)).groupBy("callset", "contig", "hap").agg(F.countDistinct("cluster_id").alias("n_clusters"), F.count(F.lit(1)).alias("n_vars"))
+
+
+# Substitutions at a few places, the new base told by the place: a call is right if the other side has one there.
+_SUBS = """sub AS (SELECT DISTINCT event_type AS contig, CASE WHEN event_id % 2 = 0 THEN 'QUERY' ELSE 'TRUTH' END AS callset, CAST(event_id // 2 % 2 AS INT) AS hap, event_id * 13 // 52 % 500 * 20 + 10 AS pos FROM events)"""
+
+
+def _substitutions(spark, sf):
+    e = V.table(spark, sf, "events")
+    return e.select(
+        F.col("event_type").alias("contig"), F.when(F.col("event_id") % 2 == 0, "QUERY").otherwise("TRUTH").alias("callset"), F.floor(F.col("event_id") / 2 % 2).cast("int").alias("hap"),
+        (F.floor(F.col("event_id") * 13 / 52) % 500 * 20 + 10).alias("pos"),
+    ).distinct()
+
+
+@query(
+    f"""WITH {_SUBS}, s AS (SELECT *, unnest([false, true]) AS swap FROM sub), r AS (SELECT s.*, EXISTS (SELECT 1 FROM sub o WHERE o.contig = s.contig AND o.pos = s.pos AND o.callset <> s.callset AND o.hap = CASE WHEN s.swap THEN 1 - s.hap ELSE s.hap END) AS ok FROM s)
+    SELECT callset, swap, CASE WHEN ok THEN 'TP' WHEN callset = 'QUERY' THEN 'FP' ELSE 'FN' END AS errtype, count(*) AS n, CAST(sum(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS credit FROM r GROUP BY 1, 2, 3"""
+)
+def graph_eval_substitutions(spark, sf):
+    """Results of the variant graph on substitutions, which SQL tells from equal places."""
+    from haplospark.operators.alignment import evaluate_superclusters
+
+    v = _substitutions(spark, sf)
+    top = v.agg(F.max("pos").alias("n"))
+    seq = F.expr(f"concat_ws('', transform(sequence(0, int(n / 128) + 2), i -> translate(sha2(cast(i as string), 512), '0123456789abcdef', 'ACGTACGTACGTACGT')))")
+    genome = v.select("contig").distinct().crossJoin(top).select("contig", seq.alias("seq")).withColumn("length", F.length("seq"))  # one row of top
+    base = F.expr("translate(substring(seq, int(pos) + 1, 1), 'ACGT', 'CGTA')")
+    v = v.join(genome.select("contig", "seq"), "contig").withColumn("alt", base).drop("seq")
+    order = Window.partitionBy("callset", "contig", "hap").orderBy("pos")
+    v = v.withColumns({"rlen": F.lit(1), "qual": F.lit(30.0).cast("float"), "var_idx": F.row_number().over(order).cast("long"), "sc_idx": F.floor(F.col("pos") / 100)})
+    ranges = v.groupBy("contig", "sc_idx").agg((F.min("pos") - 1).alias("beg"), (F.max("pos") + 2).alias("end"))
+    return evaluate_superclusters(v, ranges, genome).groupBy("callset", "swap", "errtype").agg(F.count(F.lit(1)).alias("n"), F.sum("credit").alias("credit"))
+
+
+_RUNS = """rn AS (SELECT event_type AS contig, event_id, event_id * 29 AS pos, CASE WHEN event_id % 3 = 0 THEN 'INS' ELSE 'DEL' END AS type, substr('ACGT', CAST(event_id * 29 // 20 % 4 + 1 AS INT), 1) AS base FROM events WHERE event_id * 29 % 20 + 1 < 20)"""
+
+
+@query(f"WITH {_RUNS} SELECT event_id, pos - pos % 20 AS pos, type, base FROM rn")
+def left_shift_runs(spark, sf):
+    """Insertions and deletions of a base in runs of twenty equal bases: each moves to the start of its run."""
+    from haplospark.operators.alignment import left_shift
+
+    e = V.table(spark, sf, "events").select(F.col("event_type").alias("contig"), "event_id", (F.col("event_id") * 29).alias("pos")).where("pos % 20 + 1 < 20")
+    base = F.expr("substring('ACGT', int(floor(pos / 20) % 4) + 1, 1)")
+    kind = F.when(F.col("event_id") % 3 == 0, "INS").otherwise("DEL")
+    v = e.withColumns({"callset": F.lit("QUERY"), "hap": F.lit(0), "var_idx": F.col("event_id"), "type": kind, "rlen": F.when(kind == "INS", 0).otherwise(1), "ref": F.when(kind == "DEL", base).otherwise(""), "alt": F.when(kind == "INS", base).otherwise("")})
+    top = e.groupBy("contig").agg(F.max("pos").alias("n"))
+    seq = F.expr("concat_ws('', transform(sequence(0, int(n / 20) + 1), i -> repeat(substring('ACGT', int(i % 4) + 1, 1), 20)))")
+    genome = top.select("contig", seq.alias("seq")).withColumn("length", F.length("seq"))
+    return left_shift(v, genome).select("event_id", "pos", "type", F.concat("ref", "alt").alias("base"))
+
+
+@query(
+    f"""WITH {V.SUPER}, h AS (SELECT contig, sc_idx, callset, hap, sum(CASE type WHEN 'INS' THEN size WHEN 'DEL' THEN -size ELSE 0 END) AS g FROM pv GROUP BY ALL),
+    n AS (SELECT contig, sc_idx, callset, CASE WHEN count(*) < 2 THEN greatest(0, max(g)) ELSE max(g) END AS g FROM h GROUP BY ALL),
+    l AS (SELECT st.contig, st.sc_idx, fin - beg + coalesce(max(g) FILTER (callset = 'QUERY'), 0) AS query_len, fin - beg + coalesce(max(g) FILTER (callset = 'TRUTH'), 0) AS truth_len FROM st LEFT JOIN n USING (contig, sc_idx) GROUP BY st.contig, st.sc_idx, fin, beg)
+    SELECT contig, sc_idx, CAST(query_len AS BIGINT) AS query_len, CAST(truth_len AS BIGINT) AS truth_len, CAST(query_len * truth_len * 20 AS BIGINT) AS cost,
+      CAST(CASE WHEN query_len * truth_len * 20 < 1e6 THEN 0 WHEN query_len * truth_len * 20 < 1e7 THEN 1 ELSE 2 END AS INT) AS step FROM l"""
+)
+def supercluster_costs(spark, sf):
+    """Memory that each supercluster's evaluation needs, and the step of a ladder it falls in."""
+    from haplospark.operators.alignment import supercluster_costs as costs
+
+    p = V.placed(spark, sf)
+    alt = F.when(F.col("type") == "INS", F.expr("repeat('A', int(size))")).when(F.col("type") == "SUB", "A").otherwise("")
+    return costs(p.withColumn("alt", alt), clustering.supercluster_table(V.super_(spark, sf)).select("contig", "sc_idx", "beg", "end"), steps=(0.001, 0.01, 64.0))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +15,11 @@ COLUMNS = {
     "phase-blocks": "CONTIG PHASE_BLOCK START STOP SIZE SUPERCLUSTERS FLIP_ERRORS SWITCH_ERRORS",
     "phasing-summary": "PHASE_BLOCKS SWITCH_ERRORS FLIP_ERRORS NG_50 SWITCH_NGC50 SWITCHFLIP_NGC50",
     "switchflips": "CONTIG START STOP SWITCH_TYPE SUPERCLUSTER PHASE_BLOCK",
-    "distance": "MIN_QUAL SUB_DE INS_DE DEL_DE SUB_ED INS_ED DEL_ED DISTINCT_EDITS EDIT_DIST ALN_SCORE",
-    "distance-summary": "THRESHOLD MIN_QUAL EDIT_DIST DISTINCT_EDITS ED_QSCORE",
+    "distance": "MIN_QUAL SUB_DE INS_DE DEL_DE SUB_ED INS_ED DEL_ED DISTINCT_EDITS EDIT_DIST ALN_SCORE ALN_QSCORE",
+    "distance-summary": "VAR_TYPE THRESHOLD MIN_QUAL EDIT_DIST DISTINCT_EDITS ED_QSCORE DE_QSCORE ALN_QSCORE",
     "edits": "CONTIG START HAP TYPE SIZE SUPERCLUSTER MIN_QUAL MAX_QUAL",
 }
-FORMATS = {"PREC": "%f", "RECALL": "%f", "F1_SCORE": "%f", "F1_QSCORE": "%f", "CREDIT": "%f", "QUAL": "%.2f", "ED_QSCORE": "%f"}
+FORMATS = {"PREC": "%f", "RECALL": "%f", "F1_SCORE": "%f", "F1_QSCORE": "%f", "CREDIT": "%f", "QUAL": "%.2f", "ED_QSCORE": "%f", "DE_QSCORE": "%f", "ALN_QSCORE": "%f"}
 
 
 def tsv_lines(table: DataFrame, name: str, order: list[str]) -> DataFrame:
@@ -35,12 +32,20 @@ def tsv_lines(table: DataFrame, name: str, order: list[str]) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """One text file of the lines: Spark writes sorted parts, which are then joined by streaming them."""
-    parts = f"{path}.parts"
+    """One text file of the lines: Spark writes sorted parts, which are then joined by streaming them, in any of Spark's file systems."""
+    spark, parts = lines.sparkSession, f"{path}.parts"
     lines.write.mode("overwrite").text(parts)
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "wb") as out:
-        for part in sorted(p for p in os.listdir(parts) if p.startswith("part-")):
-            with open(os.path.join(parts, part), "rb") as f:
-                shutil.copyfileobj(f, out)
-    shutil.rmtree(parts)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    folder, conf = fs_path(parts), spark._jsc.hadoopConfiguration()
+    fs = folder.getFileSystem(conf)
+    fs.delete(fs_path(path), False)
+    out = fs.create(fs_path(path))
+    try:
+        for name in sorted(x.getPath().getName() for x in fs.listStatus(folder)):
+            if name.startswith("part-"):
+                part = fs.open(fs_path(f"{parts}/{name}"))
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+                part.close()
+    finally:
+        out.close()
+    fs.delete(folder, True)
