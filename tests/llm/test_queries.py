@@ -1,7 +1,7 @@
 import pytest
 
 from haplospark.llm import queries as Q
-from tests.oracle import DATA
+from tests.oracle import DATA, connect, differ
 
 COLUMNS = {
     "op1_weak_supervision_pii": "doc_id bigint,n_email bigint,n_ip bigint,n_card bigint,n_phone bigint,base_sha256 string,spans string",
@@ -25,3 +25,8 @@ def test_columns_and_rows(spark, name):
 
 def test_one_query_per_operator():
     assert sorted(int(k[2:].split("_")[0]) for k in Q.queries()) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_equals_its_sql(spark, name):
+    assert differ(Q.queries()[name](spark, DATA), Q.oracle_sql()[name], connect()) is None
