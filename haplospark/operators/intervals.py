@@ -61,29 +61,34 @@ def located(variants: DataFrame, regions: DataFrame) -> DataFrame:
 
     variants: contig, start, stop (half-open; an insertion stops where it starts plus its anchor), type and a key
     `vid`; regions: contig, start, stop, sorted and disjoint.  Regions and variants meet by contig and bin, an
-    equality that Spark may hash or sort as sizes ask.  A null mask is handled by the caller.
+    equality that Spark may hash or sort as sizes ask; a variant lies in as many bins as it touches, so two at most
+    unless it is longer than a bin.  A null mask is handled by the caller.
     """
-    hull = regions.groupBy("contig").agg(F.min("start").alias("h_start"), F.max("stop").alias("h_stop"))
-    v = variants.join(hull, "contig", "left")
-    inside_hull = F.col("h_start").isNotNull() & (F.col("start") < F.col("h_stop")) & (F.col("stop") > F.col("h_start"))
-    r = regions.select("contig", F.col("start").alias("r_start"), F.col("stop").alias("r_stop"))
+    r = binned(regions.select("contig", F.col("start").alias("r_start"), F.col("stop").alias("r_stop")), F.col("r_start"), F.col("r_stop"))
+    row = F.struct(*[F.col(c) for c in variants.columns]).alias("row")
+    v = binned(variants.select(row, "vid", "contig", "start", "stop", "type"), F.col("start"), F.col("stop"))
     meets = (F.col("r_start") < F.col("stop")) & (F.col("r_stop") > F.col("start"))
-    hit = binned(v.where(inside_hull), F.col("start"), F.col("stop")).join(binned(r, F.col("r_start"), F.col("r_stop")), ["contig", "_bin"]).where(meets)
     whole = (F.col("r_start") <= F.col("start")) & (F.col("stop") <= F.col("r_stop")) & ~((F.col("type") == "INS") & (F.col("start") == F.col("r_stop") - 1))
-    per = hit.groupBy("vid").agg(F.max(whole).alias("whole"))
-    out = v.join(per, "vid", "left")
-    loc = F.when(F.col("h_start").isNull(), "OFF CTG").when(F.col("whole"), "INSIDE").when(F.col("whole").isNotNull(), "BORDER").otherwise("OUTSIDE")
-    return out.withColumn("loc", loc).drop("h_start", "h_stop", "whole")
+    met = v.join(r, ["contig", "_bin"], "left").groupBy("vid").agg(F.first("row").alias("row"), F.max(F.when(meets, whole)).alias("whole"))
+    known = regions.select(F.col("contig").alias("_contig")).distinct()
+    loc = F.when(F.col("_contig").isNull(), "OFF CTG").when(F.col("whole"), "INSIDE").when(F.col("whole").isNotNull(), "BORDER").otherwise("OUTSIDE")
+    return met.join(known, F.col("row.contig") == F.col("_contig"), "left").select("row.*", loc.alias("loc"))
 
 
 def as_of_region(points: DataFrame, regions: DataFrame) -> DataFrame:
-    """For each point (contig, pos, vid) the last region that starts at or before it: an as-of join by union and window."""
+    """For each point (contig, pos, vid) the last region that starts at or before it: an as-of join by union and windows.
+
+    Rows are ordered within bins of a contig; what earlier bins hold is one region a bin, carried along the bins.
+    """
     both = points.select("contig", F.col("pos").alias("at"), F.lit(1).alias("side"), "vid", F.lit(None).cast("struct<start:long,stop:long>").alias("region")).unionByName(
         regions.select("contig", F.col("start").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("vid"), F.struct(F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")).alias("region"))
-    )
-    w = Window.partitionBy("contig").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ).withColumn("_bin", F.floor(F.col("at") / BIN))
+    w = Window.partitionBy("contig", "_bin").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumn("last", F.last("region", ignorenulls=True).over(w)).where("side = 1")
-    return seen.select("vid", "contig", F.col("at").alias("pos"), F.col("last.start").alias("r_start"), F.col("last.stop").alias("r_stop"))
+    bins = both.groupBy("contig", "_bin").agg(F.max("region").alias("most"))
+    earlier = F.last("most", ignorenulls=True).over(Window.partitionBy("contig").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    found = seen.join(bins.withColumn("earlier", earlier), ["contig", "_bin"]).withColumn("last", F.coalesce("last", "earlier"))
+    return found.select("vid", "contig", F.col("at").alias("pos"), F.col("last.start").alias("r_start"), F.col("last.stop").alias("r_stop"))
 
 
 def interleaved_contigs(rows: DataFrame, order: str) -> DataFrame:
