@@ -11,6 +11,7 @@ span features is then trained on these probabilities, again from counts per feat
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,6 +46,30 @@ BEFORE, AFTER = 24, 12
 LABELERS = ("shape", "check", "gazetteer", "cue", "against", "edges", "company")
 
 
+CHUNK = 256  # rows of an array that one inner fold takes
+
+
+def _folded(rows: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """The items, of SQL type kind, of an ordered fold over rows: step(place, row) gives the next place, the item, and whether it stays.
+
+    An array that grows by one is copied each time, so a plain fold costs the square of the rows; folds of CHUNK
+    rows inside a fold over chunks copy little.
+    """
+    count = F.greatest(F.lit(1), F.ceil(F.size(rows) / CHUNK).cast("int"))
+    chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(rows, i * CHUNK + 1, CHUNK))
+
+    def one(s: Column, r: Column) -> Column:
+        place, item, stays = step(s["at"], r)
+        return F.struct(place.alias("at"), F.when(stays, F.concat(s["done"], F.array(item))).otherwise(s["done"]).alias("done"))
+
+    def inner(at: Column, c: Column) -> Column:
+        return F.aggregate(c, F.struct(at.alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("done")), one)
+
+    none = F.expr(f"named_struct('at', 0, 'done', cast(array() as array<array<{kind}>>))")
+    outer = F.aggregate(chunks, none, lambda a, c: let(inner(a["at"], c), lambda x: F.struct(x["at"].alias("at"), F.concat(a["done"], F.array(x["done"])).alias("done"))))
+    return F.flatten(outer["done"])
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """Array of (start, value, before, after): leftmost non-overlapping matches, positions in code points.
 
@@ -57,15 +82,12 @@ def _matches(text: Column, pattern: str) -> Column:
         rows = F.zip_with(
             F.arrays_zip(F.slice(gaps, 1, n).alias("g"), F.slice(gaps, 2, n).alias("h")), found, lambda g, m: F.struct(F.length(g["g"]).alias("gap"), m.alias("value"), F.right(g["g"], F.lit(BEFORE)).alias("before"), F.left(g["h"], F.lit(AFTER)).alias("after"))
         )
-        none = F.expr("named_struct('at', 0, 'done', cast(array() as array<struct<start:int,value:string,before:string,after:string>>))")
-        return F.aggregate(
-            rows,
-            none,
-            lambda a, r: F.struct(
-                (a["at"] + r["gap"] + F.length(r["value"])).alias("at"),
-                F.concat(a["done"], F.array(F.struct((a["at"] + r["gap"]).alias("start"), r["value"].alias("value"), r["before"].alias("before"), r["after"].alias("after")))).alias("done"),
-            ),
-        )["done"]
+
+        def step(at: Column, r: Column) -> tuple[Column, Column, Column]:
+            start = at + r["gap"]
+            return start + F.length(r["value"]), F.struct(start.alias("start"), r["value"].alias("value"), r["before"].alias("before"), r["after"].alias("after")), F.lit(True)
+
+        return let(rows, lambda x: _folded(x, "struct<start:int,value:string,before:string,after:string>", step))
 
     parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("found"))
     return let(parts, placed)
@@ -264,12 +286,22 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", keep_text: bool
     else:
         weights[0] = -1.0
 
-    def free(taken: Column, c: Column) -> Column:
-        return ~F.exists(taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    def marked(spans: Column, own: bool) -> Column:
+        return F.transform(spans, lambda c: F.struct(c["start"].alias("start"), F.lit(not own).alias("new"), c["kind"].alias("kind"), c["end"].alias("end")))
+
+    # by place: an added span begins where all base spans before it have ended, and ends where the next one begins
+    both = F.sort_array(F.concat(marked(F.col("base"), True), marked(_accepted(F.col("proposed"), weights), False)))
 
-    added = F.filter(_accepted(F.col("proposed"), weights), lambda c: free(F.col("base"), c))
-    added = F.transform(added, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    return found.select("doc", "base", F.sort_array(F.concat("base", added)).alias("spans"))
+    def ahead(end: Column, x: Column) -> tuple[Column, Column, Column]:
+        return F.when(x["new"], end).otherwise(F.greatest(end, x["end"])), x, ~x["new"] | (end <= x["start"])
+
+    def back(next_: Column, x: Column) -> tuple[Column, Column, Column]:  # places count downwards from 0
+        return F.when(x["new"], next_).otherwise(-x["start"] - 1), x, ~x["new"] | (next_ == 0) | (x["end"] <= -next_ - 1)
+
+    kind = "struct<start:int,new:boolean,kind:int,end:int>"
+    free = _folded(F.reverse(_folded(both, kind, ahead)), kind, back)
+    spans = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
+    return found.select("doc", "base", F.when(F.size("proposed") > 0, F.sort_array(spans)).otherwise(F.col("base")).alias("spans"))
 
 
 def span_list(spans: Column) -> Column:
@@ -288,6 +320,8 @@ def redacted(text: Column, spans: Column) -> Column:
         last = F.element_at(ends, -1)
         return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text) - last))
 
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    apart = F.aggregate(spans, none, lambda a, x: F.when((F.size(a) == 0) | (F.try_element_at(a, F.lit(-1))["end"] <= x["start"]), F.concat(a, F.array(x))).otherwise(a))
-    return F.when(F.size(spans) > 0, let(apart, build)).otherwise(text)
+    def step(end: Column, x: Column) -> tuple[Column, Column, Column]:
+        apart = end <= x["start"]
+        return F.when(apart, x["end"]).otherwise(end), x, apart
+
+    return F.when(F.size(spans) > 0, let(_folded(spans, "struct<start:int,kind:int,end:int>", step), build)).otherwise(text)

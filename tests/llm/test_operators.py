@@ -201,6 +201,40 @@ def test_personal_data_base_spans_and_redaction(spark):
     assert find_personal_data(df.where("false")).count() == 0
 
 
+def test_spans_of_a_text_full_of_them(spark):
+    """Tens of thousands of matches in one text, and added spans against base ones, by brute force."""
+    from haplospark.llm.pii import find_personal_data, redacted, span_list
+
+    rng = random.Random(13)
+    parts = ["a@b.org", "1.2.3.4", "call +49 30 1234567", "tel 030 1234 5678", "4539 1488 0343 6467", "DE44 5001 0517 5407 3249 31", "x@y.de 123-45-6789", "Frau Maria Huber", "or", "api key: 9f8a7b6c5d4e3f2a1b0c9f8a7b6c5d4e"]
+    long = " ".join(rng.choice(parts) for _ in range(30_000))
+    rows = [(0, long), (1, "me@x.org " * 40_000)] + [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))) for i in range(2, 60)]
+    found = find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    out = found.select("doc.doc_id", "doc.text", span_list(F.col("base")).alias("base"), span_list(F.col("spans")).alias("spans"), redacted(F.col("doc.text"), F.col("spans")).alias("clean")).collect()
+    added = 0
+    for r in out:
+        own = base_spans(r["text"])
+        assert r["base"] == ",".join(":".join(map(str, x)) for x in own)
+        got = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)]
+        base = {(a, b, k) for k, a, b in own}
+        new = [x for x in got if x not in base]
+        added += len(new)
+        assert base <= set(got) and got == sorted(got, key=lambda x: x[0])
+        taken = bytearray(len(r["text"]))
+        for a, b, _ in base:
+            taken[a:b] = b"\1" * (b - a)
+        for a, b, _ in new:
+            assert not any(taken[a:b])
+            taken[a:b] = b"\1" * (b - a)
+        clean, at = [], 0
+        for a, b, k in got:
+            if a >= at:
+                clean += [r["text"][at:a], f"<{k.upper()}>"]
+                at = b
+        assert r["clean"] == "".join(clean) + r["text"][at:]
+    assert added > 0 and next(r for r in out if r["doc_id"] == 1)["clean"] == "<EMAIL> " * 40_000
+
+
 def test_label_model_learns_who_is_right():
     from haplospark.llm.pii import LABELERS, label_model
 
