@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from haplospark.llm.common import binary_parts, slices, small_batches, staged
 
-CACHE_WORDS = 600_000  # tokenised words that a worker keeps, some 100 MB; one batch may go beyond
+CACHE_WORDS = 400_000  # tokenised words that a worker keeps, some 70 MB; one batch may go beyond
 MARKS = b".,;:!?"
 COMBINING = "[\u0300-\u037f]"  # marks that compose with an ASCII letter are all among these
 
