@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haplospark.operators.intervals import interleaved_contigs, mask_problems
+from haplospark.sources.bcf import bcf_lines
 
 
 class FormatError(ValueError):
@@ -32,9 +33,13 @@ def read_bed(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     return regions
 
 
+def _vcf_text(spark: SparkSession, path: str) -> DataFrame:
+    return bcf_lines(spark, path) if path.endswith(".bcf") else spark.read.text(path)
+
+
 def vcf_header(spark: SparkSession, path: str) -> dict:
     """FILTER ids, contigs with lengths in file order, and the one sample's name."""
-    lines = [r["value"] for r in spark.read.text(path).where("value like '#%'").collect()]  # headers are small
+    lines = [r["value"] for r in _vcf_text(spark, path).where("value like '#%'").collect()]  # headers are small
     import re
 
     out: dict = {"filters": [], "contigs": {}, "sample": None}
@@ -56,12 +61,12 @@ def vcf_header(spark: SparkSession, path: str) -> dict:
 
 
 def read_vcf(spark: SparkSession, path: str, callset: str) -> DataFrame:
-    """Records: callset, contig, pos (0-based), ref, alts, qual, filter, gt, gq, ps, file_ord.
+    """Records of a VCF, or of a BCF if the name ends so: callset, contig, pos (0-based), ref, alts, qual, filter, gt, gq, ps, file_ord.
 
     A missing GT is the haploid first alternate; missing QUAL, GQ and PS are 0.
     """
     vcf_header(spark, path)
-    raw = spark.read.text(path).where("value not like '#%' and value <> ''").withColumn("file_ord", F.monotonically_increasing_id())
+    raw = _vcf_text(spark, path).where("value not like '#%' and value <> ''").withColumn("file_ord", F.monotonically_increasing_id())
     c = F.split("value", "\t")
     keys, vals = F.split(c[8], ":"), F.split(c[9], ":")
 
