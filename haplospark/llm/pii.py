@@ -55,8 +55,10 @@ def _folded(rows: Column, kind: str, step: Callable[[Column, Column], tuple[Colu
     An array that grows by one is copied each time, so a plain fold costs the square of the rows; folds of CHUNK
     rows inside a fold over chunks copy little.
     """
-    count = F.greatest(F.lit(1), F.ceil(F.size(rows) / CHUNK).cast("int"))
-    chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(rows, i * CHUNK + 1, CHUNK))
+
+    def chunks(x: Column) -> Column:
+        count = F.greatest(F.lit(1), F.ceil(F.size(x) / CHUNK).cast("int"))
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(x, i * CHUNK + 1, CHUNK))
 
     def one(s: Column, r: Column) -> Column:
         place, item, stays = step(s["at"], r)
@@ -66,7 +68,7 @@ def _folded(rows: Column, kind: str, step: Callable[[Column, Column], tuple[Colu
         return F.aggregate(c, F.struct(at.alias("at"), F.expr(f"cast(array() as array<{kind}>)").alias("done")), one)
 
     none = F.expr(f"named_struct('at', 0, 'done', cast(array() as array<array<{kind}>>))")
-    outer = F.aggregate(chunks, none, lambda a, c: let(inner(a["at"], c), lambda x: F.struct(x["at"].alias("at"), F.concat(a["done"], F.array(x["done"])).alias("done"))))
+    outer = F.aggregate(let(rows, chunks), none, lambda a, c: let(inner(a["at"], c), lambda x: F.struct(x["at"].alias("at"), F.concat(a["done"], F.array(x["done"])).alias("done"))))
     return F.flatten(outer["done"])
 
 
@@ -87,7 +89,7 @@ def _matches(text: Column, pattern: str) -> Column:
             start = at + r["gap"]
             return start + F.length(r["value"]), F.struct(start.alias("start"), r["value"].alias("value"), r["before"].alias("before"), r["after"].alias("after")), F.lit(True)
 
-        return let(rows, lambda x: _folded(x, "struct<start:int,value:string,before:string,after:string>", step))
+        return _folded(rows, "struct<start:int,value:string,before:string,after:string>", step)
 
     parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("found"))
     return let(parts, placed)
