@@ -34,8 +34,8 @@ def phase_path(superclusters: DataFrame, keys: tuple[str, ...] = ("contig",)) ->
     supercluster inside a phase set; is_flip: the state was kept, and this supercluster contradicts it.
 
     A change is free between phase sets, so costs start anew there, and each run of one phase set is an ordered fold of
-    its own, for either state that the run behind it may begin with.  Those states are then known from the last
-    run to the first, over two small numbers a run.
+    its own, for either state that the run behind it may begin with.  Which one that is follows from the later runs, by
+    windows over what each hands on.
     """
     import numpy as np
 
@@ -69,19 +69,14 @@ def phase_path(superclusters: DataFrame, keys: tuple[str, ...] = ("contig",)) ->
             out |= {f"_path{begin}": path, f"_switch{begin}": switch, f"_flip{begin}": flip}
         return pdf.assign(**out, _first=np.arange(n) == 0)
 
-    def begins(pdf):
-        pdf = pdf.sort_values("_run", ascending=False).reset_index(drop=True)
-        state, out = 0, []
-        for p0, p1 in zip(pdf["_path0"], pdf["_path1"]):
-            out.append(state)  # of the run behind this one
-            state = int(p1 if state else p0)
-        return pdf.assign(_state=np.array(out, np.int32))[[*keys, "_run", "_state"]]
-
     more = [T.StructField(f"_{k}{b}", t) for b in (0, 1) for k, t in (("path", T.IntegerType()), ("switch", T.BooleanType()), ("flip", T.BooleanType()))]
     both = runs.groupBy(*keys, "_run").applyInPandas(fold, T.StructType(runs.schema.fields + more + [T.StructField("_first", T.BooleanType())]))
-    kinds = [runs.schema[c] for c in (*keys, "_run")]
-    states = both.where("_first").select(*keys, "_run", "_path0", "_path1").groupBy(*keys).applyInPandas(begins, T.StructType([*kinds, T.StructField("_state", T.IntegerType())]))
-    rows = both.join(states, [*keys, "_run"])
+    # a run hands on a state of its own, or the one behind it, as it is or exchanged
+    later = Window.partitionBy(*keys).orderBy(F.desc("sc_idx")).rowsBetween(Window.unboundedPreceding, -1)
+    exchanged = (F.col("_first") & (F.col("_path0") > F.col("_path1"))).cast("int")
+    both = both.withColumn("_n", F.coalesce(F.sum(exchanged).over(later), F.lit(0)))
+    own = F.when(F.col("_first") & (F.col("_path0") == F.col("_path1")), (F.col("_path0") + F.col("_n")) % 2)
+    rows = both.withColumn("_own", own).withColumn("_state", F.coalesce((F.last("_own", ignorenulls=True).over(later) + F.col("_n")) % 2, F.lit(0)))
 
     def chosen(k: str) -> Column:
         return F.when(F.col("_state") == 0, F.col(f"_{k}0")).otherwise(F.col(f"_{k}1"))

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from haplospark.config import EvalConfig
 from haplospark.functions import scalar
 from haplospark.operators import clustering, filters, intervals, merges, metrics, phasing
 from haplospark.plans import views as V
@@ -530,7 +529,11 @@ def _genome(spark, sf):
 
 
 def _sequenced(spark, sf):
-    """Synthetic calls with alleles, the overlapping ones left out, in clusters and superclusters."""
+    """Synthetic calls with alleles, the overlapping ones left out, in clusters and superclusters.
+
+    The calls lie so close (one in 65 bases of a contig) that the configuration's gap of 50 would join whole contigs,
+    and groups of its 10,000 bases take minutes each; so the gap is 10, and superclusters are cut at 1,000 bases.
+    """
     from haplospark.operators.alignment import split_oversize
 
     v = V.calls(spark, sf)
@@ -539,9 +542,9 @@ def _sequenced(spark, sf):
         "callset", "contig", "hap", "pos", "var_idx", F.when(F.col("type") == "SUB", "SNP").otherwise(F.col("type")).alias("type"), "rlen", "size", F.col("qual").cast("float").alias("qual"), "phase_set", F.when(F.col("type") == "DEL", "").otherwise(F.expr("substring(w, 1, int(size))")).alias("alt")
     )
     v = filters.prune_overlaps(v)
-    c = clustering.reach_clusters(clustering.with_reach(v, "gap", EvalConfig().cluster_gap))
+    c = clustering.reach_clusters(clustering.with_reach(v, "gap", 10))
     sc = clustering.superclusters(clustering.cluster_table(c)).select("callset", "contig", "hap", "cluster_id", "sc_idx")
-    return split_oversize(c.join(sc, ["callset", "contig", "hap", "cluster_id"]), EvalConfig().max_supercluster_size)
+    return split_oversize(c.join(sc, ["callset", "contig", "hap", "cluster_id"]), 1000)
 
 
 # Rows of the cost matrices by one recursion over a's letters, then the trace back by another, one operation a step.
