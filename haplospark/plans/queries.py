@@ -599,10 +599,11 @@ def realign_clusters(spark, sf):
 
 @query()
 def reach_clusters(spark, sf):
-    """Clusters by how far realignments may reach."""
+    """Clusters by how far realignments may reach, for calls of eight bases at most."""
     from haplospark.operators.alignment import reach_iterations
 
-    v = _sequenced(spark, sf).where("pos > 0").select("callset", "contig", "hap", "pos", "var_idx", "rlen", "alt")
+    # longer calls, one in 65 bases of a contig, would join whole contigs, as each reaches over its neighbours
+    v = _sequenced(spark, sf).where("pos > 0").select("callset", "contig", "hap", "pos", "var_idx", F.least("rlen", F.col("rlen") % 8 + 1).cast("long").alias("rlen"), F.expr("left(alt, length(alt) % 8 + 1)").alias("alt"))
     return reach_iterations(v, _genome(spark, sf)).groupBy("callset", "contig", "hap").agg(F.countDistinct("cluster_id").alias("n_clusters"), F.count(F.lit(1)).alias("n_vars"))
 
 
