@@ -18,6 +18,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -267,6 +268,11 @@ def _alike_rows(table: pa.Table) -> pa.Table:
     return table.take(pa.array(sorted(found), pa.int64()))
 
 
+@lru_cache(maxsize=1)  # its tables cost more than most groups
+def _worker_hasher() -> Hasher:
+    return Hasher(BYTES)
+
+
 def _block_links(weights: np.ndarray, least: float):
     """Links between different components within one pair of blocks of a bucket.
 
@@ -274,7 +280,7 @@ def _block_links(weights: np.ndarray, least: float):
     """
 
     def run(table: pa.Table) -> pa.Table:
-        hasher, table = Hasher(BYTES), table.combine_chunks()
+        hasher, table = _worker_hasher(), table.combine_chunks()
         blocks = _Sketches(table)
         node, component = blocks.node, blocks.component
         offsets, data = binary_parts(table["text"])
