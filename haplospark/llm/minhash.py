@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haplospark.llm.common import binary_parts, bucketed, keyed_texts, mix64, slices, small_batches, staged, unstage
+from haplospark.llm.common import binary_parts, bucketed, keyed_texts, mix64, released, slices, small_batches, staged, unstage
 from haplospark.llm.suffix_dedup import Hasher
 
 WORDS = 5
@@ -103,7 +103,7 @@ def _frequency_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def shingle_weights(texts: DataFrame) -> np.ndarray:
     """Weight of one occurrence of a shingle, by hashed bucket; 2^18 numbers whatever the corpus."""
-    counts = texts.select("text").mapInArrow(_frequency_rows, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = texts.select("text").mapInArrow(released(_frequency_rows, "minhash"), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros((1 << BUCKET_BITS) + 1)
     df[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     n = df[-1]
@@ -212,7 +212,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, least: flo
     used = staged(texts.select("row_id", "text").join(nodes.hint("shuffle_merge"), "row_id"), "used")
     with_b = pairs.join(used.select(F.col("row_id").alias("b"), F.col("text").alias("text_b")).hint("shuffle_merge"), "b")
     both = with_b.join(used.select(F.col("row_id").alias("a"), F.col("text").alias("text_a")).hint("shuffle_merge"), "a")
-    links = staged(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify_rows(weights, least), "a long, b long, similarity double"), "links")
+    links = staged(both.select("a", "b", "text_a", "text_b").mapInArrow(released(_verify_rows(weights, least), "minhash"), "a long, b long, similarity double"), "links")
     unstage(pairs, used)
     return links
 
@@ -339,7 +339,7 @@ def near_duplicates(texts: DataFrame, least: float = 0.8) -> DataFrame:
     """
     weights = shingle_weights(texts)
     signed = staged(
-        texts.select("row_id", "text").mapInArrow(_signature_rows(weights), "row_id long, p1 long, p2 long, n_words long, bands array<long>, sketch binary"), "signed"
+        texts.select("row_id", "text").mapInArrow(released(_signature_rows(weights), "minhash"), "row_id long, p1 long, p2 long, n_words long, bands array<long>, sketch binary"), "signed"
     )
     same = ["p1", "p2", "n_words"]
     classes = staged(signed.groupBy(*same).agg(F.min("row_id").alias("node")), "classes")
